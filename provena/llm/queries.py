@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.toxicity import detect_toxicity
+
+    return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.mixing import entropy_mix
 
@@ -44,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
