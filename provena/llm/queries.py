@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.minhash import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.toxicity import detect_toxicity
 
@@ -50,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op8_langid": op8_langid,
