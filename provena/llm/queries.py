@@ -25,6 +25,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.collision_ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.toxicity import detect_toxicity
 
@@ -37,6 +43,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.branch_bound import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.langid import identify_languages
 
@@ -57,8 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op3_ann": op3_ann,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_topk": op6_topk,
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
