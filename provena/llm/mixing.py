@@ -10,7 +10,7 @@ source, so that the source's words meet its target to within a document.
 
 Cases. Null text has size 0; documents of size 0 take 0 words. A null source is a source of its own, last in
 the order. A source without words has target 0. Repeated rows with one doc_id and text hash alike and are taken
-one after another up to the cut; as they are interchangeable, reruns agree. An empty table gives an empty result.
+alike, so reruns agree; a source may miss its target by the words of such rows at its cut. An empty table gives an empty result.
 Extra columns are ignored. Only per-round scalars come to the driver.
 """
 
@@ -26,6 +26,8 @@ from provena.runtime import discard, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: histogram bins of the hash space a source; a source of more than BINS * BIN_ROWS rows gets more
 BINS, BIN_ROWS = 1024, 4096
+#: a table of so many sources at most (about 100 bytes each) is broadcast
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -94,39 +96,77 @@ def newton_rates(sources: DataFrame, cap: float = 2.0, tolerance: float = 1e-10,
     return out.withColumn("rate", F.coalesce(F.least(F.lit(float(cap)), F.exp("lambda")), F.lit(0.0)))
 
 
-def entropy_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every row of ``docs``."""
+def _place(seed: int) -> Column:
+    """The hash place of a document, in [0, 1)."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def _bin() -> Column:
+    return F.floor(F.col("_place") * F.col("n_bins")).cast("long")
+
+
+def plan_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows ``doc_id, source, size, _place`` and, by source, all that decides a document's copies.
+
+    A document of a source gets ``whole`` copies, and one more if its bin is below ``at``, or is ``at`` and its place
+    is at most ``tau``.
+    """
     if not (0 < share <= cap) or any(not (0 < w < math.inf) for w in pattern):
         raise ValueError("share must lie in (0, cap] and weights be positive")
-    # the hash place of a document, in [0, 1)
-    place = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("_place")), "mix-sizes")
+    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("_place")), "mix-sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rates = materialize(newton_rates(source_targets(sizes, pattern, share, cap), cap), "mix-rates")
-    same = narrow["source"].eqNullSafe(rates["source"])
     n_bins = F.greatest(F.lit(BINS), F.ceil(F.col("n_docs") / F.lit(BIN_ROWS))).cast("long")
-    joined = narrow.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight", "lambda")
     whole = F.floor(F.col("rate") + F.lit(1e-9)).cast("long")
-    tilted = joined.select("*", whole.alias("_whole"), F.floor(F.col("_place") * n_bins).cast("long").alias("_bin"))
-    tilted = materialize(tilted, "mix-tilted")
-    # words still wanted beyond the whole copies, by source; the cut falls into the bin where they run out
-    by_bin = tilted.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("target").alias("_target"), F.first("source_size").alias("_all"), F.first("_whole").alias("_w"))
-    before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.col("_target") - F.col("_w") * F.col("_all")
-    cuts = by_bin.select("source", "_bin", (wanted - F.coalesce(F.sum("_words").over(before), F.lit(0))).alias("_rest"), "_words")
-    cuts = cuts.withColumnsRenamed({"source": "_source", "_bin": "_at"})
-    edge = (F.col("_rest") > 0) & (F.col("_rest") < F.col("_words"))
-    state = cuts.select("_source", "_at", F.when(F.col("_rest") <= 0, -1.0).when(edge, F.col("_rest")).otherwise(F.lit(float("inf"))).alias("_rest"))
-    # only the bins with the cut are ordered row by row; all other rows are decided by their bin
-    cut_bin = materialize(state.filter((F.col("_rest") > 0) & (F.col("_rest") < F.lit(float("inf")))), "mix-cuts")
-    placed = tilted.join(cut_bin, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    # sources whose wish is met exactly at a bin's edge have no cut bin: all or nothing by the wish
-    none = F.col("_at").isNull()
-    more = F.col("target") - F.col("_whole") * F.col("source_size") >= F.col("source_size") - F.lit(0.5)
-    placed = placed.withColumn("_side", F.when(none, F.when(more, -1).otherwise(1)).when(F.col("_bin") < F.col("_at"), -1).when(F.col("_bin") > F.col("_at"), 1).otherwise(0))
-    run = Window.partitionBy("source", "_bin").orderBy("_place", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = placed.filter("_side = 0").withColumn("_extra", (F.sum("size").over(run) - F.col("size") / 2 <= F.col("_rest")).cast("long"))
-    rest = placed.filter("_side <> 0").withColumn("_extra", (F.col("_side") < 0).cast("long"))
-    both = rest.unionByName(at_cut)
-    copies = F.least(F.lit(int(cap)), F.col("_whole") + F.col("_extra"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    rates = newton_rates(source_targets(sizes, pattern, share, cap), cap)
+    rates = rates.select("source", "source_size", "target", "rate", whole.alias("whole"), n_bins.alias("n_bins"))
+    rates = materialize(rates.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")), "mix-rates")
+    # words by bin: the cut falls into the bin where the wanted words run out
+    by_bin = attach(narrow, rates).groupBy("source", _bin().alias("bin")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("wanted") - F.coalesce(F.sum("words").over(before), F.lit(0))
+    cuts = by_bin.withColumn("rest", rest).filter((F.col("rest") > 0) & (F.col("rest") < F.col("words")))
+    cuts = materialize(cuts.select("source", F.col("bin").alias("at"), "rest"), "mix-cuts")
+    # only the rows of the bins with a cut are ordered
+    edge = attach(attach(narrow, rates), cuts).filter(_bin() == F.col("at"))
+    run = Window.partitionBy("source").orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = edge.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") - F.col("size") / 2 <= F.col("rest"))
+    taus = taken.groupBy("source").agg(F.max("_place").alias("tau"))
+    marked = attach(attach(rates, cuts, "left"), materialize(taus, "mix-taus"), "left")
+    # a wish met at a bin's edge leaves no cut: all or none
+    full = F.col("wanted") >= F.col("source_size") - F.lit(0.5)
+    at = F.coalesce("at", F.when(full, F.col("n_bins")).otherwise(F.lit(0)))
+    return narrow, materialize(marked.withColumn("at", at).drop("rest", "wanted"), "mix-plan")
+
+
+def attach(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the source, null equal to null; a table of few sources (counted) is broadcast, so rows stay where they are."""
+    other = by_source.withColumnRenamed("source", "_source")
+    if by_source.count() <= BROADCAST_SOURCES:
+        other = F.broadcast(other)
+    return rows.join(other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
+def _copies(cap: float) -> Column:
+    extra = (_bin() < F.col("at")) | ((_bin() == F.col("at")) & (F.col("_place") <= F.coalesce("tau", F.lit(-1.0))))
+    return F.least(F.lit(int(cap)), F.col("whole") + extra.cast("long"))
+
+
+def entropy_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every row of ``docs``."""
+    narrow, plan = plan_mix(docs, pattern, share, cap, seed)
+    rows = attach(narrow, plan).withColumn("copies", _copies(cap))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mix_copies(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    _, plan = plan_mix(docs, pattern, share, cap, seed)
+    keep = [c for c in plan.columns if c != "source"]
+    renamed = plan.select("source", F.struct(*keep).alias("_plan"))
+    rows = attach(docs.select("*", _place(seed).alias("_place")), renamed)
+    rows = rows.select(*[F.col(c) for c in docs.columns], "_place", *[F.col(f"_plan.{c}").alias(f"_p_{c}") for c in keep])
+    place, n_bins = F.col("_place"), F.col("_p_n_bins")
+    at_bin = F.floor(place * n_bins).cast("long")
+    extra = (at_bin < F.col("_p_at")) | ((at_bin == F.col("_p_at")) & (place <= F.coalesce("_p_tau", F.lit(-1.0))))
+    copies = F.least(F.lit(int(cap)), F.col("_p_whole") + extra.cast("long"))
+    return rows.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
