@@ -9,9 +9,9 @@ a text are thrown, however many coordinates there are.
 
 Joining. Texts equal word for word are one node. Nodes meet in ``BANDS`` bands of ``ROWS`` coordinates. In a bucket all nodes
 are first compared, exactly, with the bucket's least node (the hub), which joins groups of any size by a star. What is
-still apart afterwards is compared pair by pair across components; buckets above ``SMALL`` nodes get there by
-an exact way instead, a join on the rarest elements (two texts at threshold t share one of the n - ceil(t n) + 1 rarest).
-So no link between candidates is lost, and no bucket's pairs are all listed.
+still apart afterwards is compared across components: pair by pair in buckets of up to ``SMALL`` nodes, in tiles of
+numpy products above that (``_compare_groups``), where only links leave a task. So no link between candidates is lost, and
+no bucket's pairs are all listed.
 
 Cases. Texts without a word (null, empty, only signs) are never copies: each row is a class of its own, with a class
 id of its own doc_id. Texts of fewer than five words have one element, all their words. Rows with one text share a
@@ -41,6 +41,7 @@ ROWS, BANDS = 5, 24
 COORDS = ROWS * BANDS
 THRESHOLD = 0.8
 SMALL = 48
+TILE = 256
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: distribution function of the Poisson law of mean 1, scaled to 32 bits
@@ -218,25 +219,75 @@ def _close_in_size(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def _rare_pairs(nodes: DataFrame, found: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of ``nodes`` in different components that may reach the threshold: they share a rare element."""
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted arrays, by products of indicator matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for arrays in (left, right):
+        row = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        flat = np.concatenate(arrays)
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order]))
+    for start in range(0, len(shared), 4096):
+        block = []
+        for (row, at), arrays in zip(sides, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, [start, start + 4096])
+            m = np.zeros((len(arrays), min(4096, len(shared) - start)), np.float32)
+            m[row[lo:hi], at[lo:hi] - start] = 1
+            block.append(m)
+        out += block[0] @ block[1].T
+    return out
+
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_tiles(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                e = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(e)).cast(pa.binary()), pa.array(np.full(len(e), len(e), np.int32)), pa.array(e)], names=["h", "n", "x"])
+                sides = []
+                for k in (0, 1):
+                    rows = batch.column(k)[i].values
+                    e = rows.field("e")
+                    sides.append((rows.field("h").to_pylist(), rows.field("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in e]))
+                (ha, la, ea), (hb, lb, eb) = sides
+                common = _overlaps(ea, eb)
+                na, nb = np.array([len(x) for x in ea])[:, None], np.array([len(x) for x in eb])[None, :]
+                s = common / (na + nb - common)
+                x, y = np.nonzero(s >= threshold)
+                pairs = [(ha[p], hb[q], float(s[p, q])) for p, q in zip(x, y, strict=True) if la[p] != lb[q]]
+                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[2] for p in pairs], pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
 
-    rows = materialize(found.join(nodes, "h", "left_semi").select("h", "e").mapInArrow(explode, "h binary, n int, x bigint"), "dup-rare")
-    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    from pyspark.sql import Window
+def _compare_groups(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Links between components within groups of large buckets, exactly, in tiles.
 
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("df", "x"))
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    lists = rows.join(counts, "x").withColumn("nth", nth).filter((F.col("nth") <= prefix) & (F.col("df") > 1)).select("x", "h", "n")
-    lists = materialize(_labelled(lists, labels), "dup-lists")
-    mixed = lists.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("x")
-    return _across(lists.join(mixed, "x", "left_semi"), "x", threshold)
+    ``large`` has ``h, hub, n, label`` of the members of large buckets. Buckets with common members form one group, so no pair is
+    met once a band. A group's nodes are cut into size classes (similar texts are in one or in neighbours) and those into
+    chunks of at most about ``TILE`` texts. A tile compares a chunk of nodes outside the group's main component with a
+    chunk of any; only links leave it.
+    """
+    groups = connected_components(large.select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct())
+    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-math.log(threshold))).cast("int")
+    nodes = large.groupBy("h").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(groups.select(F.col("node").alias("h"), F.col("label").alias("group")), "h").join(found, "h")
+    nodes = materialize(nodes.select("h", "label", "group", "e", "n", size_class.alias("cls")), "dup-groups")
+    main = nodes.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    extent = nodes.groupBy("group", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / (TILE * 512))).alias("chunks"))
+    extent = materialize(extent.join(main, "group"), "dup-extent")
+    placed = nodes.join(extent, ["group", "cls"]).withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int"))
+    packed = placed.groupBy("group", "cls", "chunk")
+    row = F.struct("h", "label", "e")
+    right = materialize(packed.agg(F.collect_list(row).alias("right")), "dup-right")
+    left = materialize(packed.agg(F.collect_list(F.when(F.col("label") != F.col("main"), row)).alias("left")).filter("size(left) > 0"), "dup-left")
+    near = left.select("group", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), "left")
+    tiles = near.join(right.select("group", "cls", "right"), ["group", "cls"]).select("left", "right")
+    links = materialize(tiles.mapInArrow(_compare_tiles(threshold), "a binary, b binary, similarity double"), "dup-edges")
+    for used in (nodes, right, left):
+        discard(used)
+    return links
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,14 +323,13 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple
     stars = members.filter((F.col("h") != F.col("hub")) & _close_in_size(F.col("n"), F.col("hub_n"), threshold))
     links = _verify(stars.select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct(), found, threshold)
     labels = connected_components(links)
-    named = materialize(_labelled(members.select("key", "size", "h", "n"), labels), "dup-named")
+    named = materialize(_labelled(members.select("key", "size", "hub", "h", "n"), labels), "dup-named")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     apart = materialize(named.join(mixed, "key", "left_semi"), "dup-apart")
-    pairs = _across(apart.filter(F.col("size") <= SMALL), "key", threshold)
-    large = apart.filter(F.col("size") > SMALL).select("h").distinct()
+    more = _verify(_across(apart.filter(F.col("size") <= SMALL), "key", threshold), found, threshold)
+    large = apart.filter(F.col("size") > SMALL)
     if large.limit(1).count():
-        pairs = pairs.union(_rare_pairs(large, found, labels, threshold)).distinct()
-    more = _verify(pairs, found, threshold)
+        more = more.union(_compare_groups(large, found.select("h", "e"), threshold))
     if more.limit(1).count():
         links = links.select("a", "b", "similarity").union(more.select("a", "b", "similarity"))
         labels = connected_components(links)
