@@ -50,16 +50,15 @@ def header_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf(DIMS)
 def _sizes(content: pd.Series) -> pd.DataFrame:
     found = [header_size(bytes(c)) if c is not None else None for c in content]
     ok = [x if x and x[0] > 0 and x[1] > 0 else (None, None) for x in found]
     return pd.DataFrame({"width": pd.array([x[0] for x in ok], "Int32"), "height": pd.array([x[1] for x in ok], "Int32")})
 
 
-def dimensions(content: Column, suffix: Column) -> Column:
+def dimensions(content: Column) -> Column:
     """``width, height`` of image bytes, null where the header tells none."""
-    d = _sizes(content)
+    d = F.pandas_udf(_sizes, DIMS)(content)
     return F.when(d["width"].isNotNull(), d)
 
 

@@ -29,14 +29,16 @@ def number(c: Column) -> Column:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``line`` texts into ``tokens, class_id, cx, cy, nw, nh, error`` (error null where the line is well formed)."""
+    # each step's columns are made once, by a generator, so that later filters do not copy their expressions
     t = F.split(stripped(F.col("line")), r"\s+")
-    rows = lines.filter(stripped(F.col("line")) != "").withColumn("tokens", t)
+    rows = lines.filter(stripped(F.col("line")) != "").select("*", F.explode(F.array(t)).alias("tokens"))
 
     def token(i: int) -> Column:
         return F.try_element_at("tokens", F.lit(i + 1))
 
     cls = F.when(token(0).rlike(r"^[+-]?\d+$"), F.regexp_replace(token(0), r"^\+", "").try_cast("bigint"))
-    rows = rows.select("*", cls.alias("class_id"), *[number(token(i + 1)).alias(n) for i, n in enumerate(("cx", "cy", "nw", "nh"))])
+    parts = F.struct(cls.alias("class_id"), *[number(token(i + 1)).alias(n) for i, n in enumerate(("cx", "cy", "nw", "nh"))])
+    rows = rows.select("*", F.inline(F.array(parts)))
     values = [F.col(n) for n in ("cx", "cy", "nw", "nh")]
     none = F.lit(False)
     for v in values:
@@ -95,7 +97,7 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
     names = resolve_classes(data_dir, labels_dir, classes)
     glob = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP,Jpg,Jpeg,Png,Bmp}"
     found = _listing(spark, images_dir, glob, True)
-    found = found.withColumn("dims", dimensions(F.col("content"), F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1)))).drop("content")
+    found = found.withColumn("dims", dimensions(F.col("content"))).drop("content")
     if default_dims is not None:
         fallback = F.struct(F.lit(int(default_dims[0])).alias("width"), F.lit(int(default_dims[1])).alias("height"))
         found = found.withColumn("dims", F.coalesce("dims", fallback))
