@@ -106,14 +106,16 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
         raise SourceNotFound(f"no images in {images_dir}")
     if found.filter("dims is null").limit(1).count():
         raise MalformedSource("an image's dimensions cannot be read and no default is given")
-    text = spark.read.text(labels_dir, wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_name").alias("label_name"))
-    beside = spark.read.text(images_dir, wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_name").alias("label_name"))
 
-    def by_stem(df: DataFrame) -> DataFrame:
-        return df.filter(~F.col("label_name").isin(*CLASS_FILES)).select(F.regexp_replace("label_name", r"\.txt$", "").alias("stem"), "value")
+    def by_stem(folder: str) -> DataFrame:
+        files = _listing(spark, folder, "*.txt", True).filter(~F.col("file_name").isin(*CLASS_FILES))
+        return files.select("stem", F.decode("content", "utf-8").alias("value"))
 
-    labels, beside = by_stem(text), by_stem(beside)
-    lost = [r["stem"] for r in orphans(labels, found).select("stem").orderBy("stem").collect()]
+    labels, beside = by_stem(labels_dir), by_stem(images_dir)
+    # Spark's readers leave out empty files, so label files are listed by name
+    stems = sorted(os.path.splitext(n)[0] for n in os.listdir(labels_dir) if n.endswith(".txt") and n not in CLASS_FILES)
+    named = spark.createDataFrame([(x,) for x in stems], "stem string")
+    lost = [r["stem"] for r in orphans(named, found).orderBy("stem").collect()]
     strict = strict_bounds if strict_orphans is None else strict_orphans
     if lost and strict:
         raise InvalidAnnotation(f"labels without an image: {', '.join(lost)}")
