@@ -256,7 +256,9 @@ def _compare_tiles(threshold: float):
                 na, nb = np.array([len(x) for x in ea])[:, None], np.array([len(x) for x in eb])[None, :]
                 s = common / (na + nb - common)
                 x, y = np.nonzero(s >= threshold)
-                pairs = [(ha[p], hb[q], float(s[p, q])) for p, q in zip(x, y, strict=True) if la[p] != lb[q]]
+                # one link from a node to each component: what is in it is joined already
+                first = {(p, lb[q]): q for p, q in zip(x[::-1].tolist(), y[::-1].tolist(), strict=True) if la[p] != lb[q]}
+                pairs = [(ha[p], hb[q], float(s[p, q])) for (p, _), q in first.items()]
                 yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[2] for p in pairs], pa.float64())], ["a", "b", "similarity"])
 
     return run
