@@ -32,7 +32,7 @@ MIN_REVISIT = 1000
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed by the format
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DATE = "2000-01-01T00:00:00Z"
-DICTIONARY_ROWS, DICTIONARY_BYTES = 256, 32 << 10
+DICTIONARY_ROWS, DICTIONARY_BYTES, SAMPLE_BYTES = 256, 32 << 10, 64 << 10
 ARCHIVE_BYTES = 8 << 20
 
 
@@ -220,7 +220,11 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """Write ``.warc.zst`` files below ``path`` (a folder all machines share); returns ``archive, records, bytes`` as written."""
     spark = pages.sparkSession
     ship_package(spark)
-    sample = pages.orderBy(unit_hash(F.coalesce(F.col("page_id"), F.lit(-1)), seed=2), "page_id").limit(DICTIONARY_ROWS).select("page_id", "url", "html").collect()
+    # about DICTIONARY_ROWS pages by a hash, each of at most SAMPLE_BYTES: what comes to the driver is bounded
+    short = F.octet_length(F.coalesce("html", F.lit(""))) <= SAMPLE_BYTES
+    share = min(1.0, DICTIONARY_ROWS / max(pages.count(), 1))
+    chosen = pages.filter(short & (unit_hash(F.coalesce(F.col("page_id"), F.lit(-1)), seed=2) < share))
+    sample = chosen.select("page_id", "url", "html").limit(4 * DICTIONARY_ROWS).collect()
     records = []
     for r in sample:
         payload = (r["html"] or "").encode("utf-8", "surrogatepass")
