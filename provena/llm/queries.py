@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.minhash import near_duplicate_classes
 
-    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,18 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # exact weighted Jaccard of all pairs that share a shingle, and its components
+    "op1_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
+        g AS (SELECT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        e AS (SELECT doc_id, s, count(*) AS k FROM g GROUP BY doc_id, s),
+        n AS (SELECT doc_id, sum(k) AS n FROM e GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.k, b.k)) AS common FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common::DOUBLE / (x.n + y.n - common)::DOUBLE >= 0.8),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM c
+    """,
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         s AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
