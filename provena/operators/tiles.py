@@ -42,8 +42,8 @@ def run_tiles(left: DataFrame, right: DataFrame | None, left_blocks: int, functi
     ship_package(spark)
     own = right is None
     other = left if own else right
-    start = F.col("block") if own else F.lit(0)
-    spread = other.select(F.explode(F.sequence(F.lit(0), F.col("block") if own else F.lit(left_blocks - 1))).alias("block"), F.col("block").alias("other"), F.col("rows").alias("more")) if own else other.select(F.explode(F.sequence(start, F.lit(left_blocks - 1))).alias("block"), F.col("block").alias("other"), F.col("rows").alias("more"))
+    last = F.col("block") if own else F.lit(left_blocks - 1)
+    spread = other.select(F.explode(F.sequence(F.lit(0), last)).alias("block"), F.col("block").alias("other"), F.col("rows").alias("more"))
     tiles = left.join(spread, "block").select("block", "other", "rows", "more")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +28,10 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="provena-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:  # name the store, for readers other than Spark's
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+        found = re.sub(r"^file:/+", "file:///", found)
     return found.rstrip("/")
 
 
