@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, fold, unit_hash
+from provena.llm.text import chunks, fold, unit_hash, with_text
 from provena.runtime import ship_package
 
 ORDERS = (1, 2, 3)
@@ -135,17 +135,16 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     shared = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    # the text comes first under a name of its own: a kept column may be called text as well
-    rows = docs.select(F.col("text").alias("_scored"), *keep)
+    rows, name = with_text(docs, keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, values = [], []
-            for _, texts in chunks(batch, "_scored"):
+            for _, texts in chunks(batch, name):
                 lang, best = shared.value.scores(texts)
                 names += lang
                 values.append(best)
-            cols = [batch.column(i) for i in range(1, batch.num_columns)]
+            cols = [batch.column(i) for i in range(len(keep))]
             best = np.concatenate(values) if values else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
 

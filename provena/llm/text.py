@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,10 @@ def chunks(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator
         size += n
     if run:
         yield start, run
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The kept columns and the text for a scoring pass, and the text's name there; the text is sent once."""
+    if "text" in keep:
+        return docs.select(*keep), "text"
+    return docs.select(*keep, F.col("text").alias("_scored")), "_scored"

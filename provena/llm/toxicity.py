@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, fold, unit_hash
+from provena.llm.text import chunks, fold, unit_hash, with_text
 from provena.runtime import discard, materialize, ship_package
 
 WORDS = re.compile(r"\w+")
@@ -296,21 +296,23 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     schema += ", passages array<struct<start: int, end: int, score: double>>" if with_passages else ""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    rows, name = with_text(docs, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, spans = [], []
-            for _, texts in chunks(batch, "_scored"):
+            for _, texts in chunks(batch, name):
                 m = shared.value
                 for text in texts:
                     found = m.passages(*m.hits(text))
                     scores.append(m.score(min(60.0, m.evidence([x for _, x in found]))))
                     if with_passages:
                         spans.append([{"start": g.start, "end": g.end, "score": x} for g, x in found])
-            cols = [batch.column(i) for i in range(1, batch.num_columns)]
+            cols = [batch.column(i) for i in range(len(keep))]
             cols += [pa.array(scores, pa.float64())] + ([pa.array(spans, kind)] if with_passages else [])
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "tox_score"] + ["passages"] * with_passages)
 
-    return docs.select(F.col("text").alias("_scored"), *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def detect_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_docs: int = 4000) -> DataFrame:
