@@ -34,7 +34,7 @@ from provena.runtime import ship_package
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_KNOWN_UNITS = 400_000
+_KNOWN_UNITS = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:

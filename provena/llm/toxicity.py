@@ -108,7 +108,7 @@ class ToxicityModel:
         for k in PREFIXES:
             if s is None and len(word) > k:
                 s = self.scores.get(f"{k}{word[:k]}")
-        if len(memo) > 300_000:
+        if len(memo) > 150_000:
             memo.clear()
         memo[word] = s
         return s
