@@ -120,11 +120,11 @@ def plan_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     rates = newton_rates(source_targets(sizes, pattern, share, cap), cap)
     rates = rates.select("source", "source_size", "target", "rate", whole.alias("whole"), n_bins.alias("n_bins"))
     rates = materialize(rates.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")), "mix-rates")
-    # words by bin: the cut falls into the bin where the wanted words run out
+    # words by bin: the cut falls into the bin where the wanted words run out, at its upper edge at the latest
     by_bin = attach(narrow, rates).groupBy("source", _bin().alias("bin")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.col("wanted") - F.coalesce(F.sum("words").over(before), F.lit(0))
-    cuts = by_bin.withColumn("rest", rest).filter((F.col("rest") > 0) & (F.col("rest") < F.col("words")))
+    cuts = by_bin.withColumn("rest", rest).filter((F.col("rest") > 0) & (F.col("rest") <= F.col("words")))
     cuts = materialize(cuts.select("source", F.col("bin").alias("at"), "rest"), "mix-cuts")
     # only the rows of the bins with a cut are ordered
     edge = attach(attach(narrow, rates), cuts).filter(_bin() == F.col("at"))
@@ -132,7 +132,7 @@ def plan_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     taken = edge.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") - F.col("size") / 2 <= F.col("rest"))
     taus = taken.groupBy("source").agg(F.max("_place").alias("tau"))
     marked = attach(attach(rates, cuts, "left"), materialize(taus, "mix-taus"), "left")
-    # a wish met at a bin's edge leaves no cut: all or none
+    # nothing wanted, or more than there is, leaves no cut: none or all
     full = F.col("wanted") >= F.col("source_size") - F.lit(0.5)
     at = F.coalesce("at", F.when(full, F.col("n_bins")).otherwise(F.lit(0)))
     return narrow, materialize(marked.withColumn("at", at).drop("rest", "wanted"), "mix-plan")

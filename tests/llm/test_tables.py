@@ -215,6 +215,23 @@ def test_mixing(spark):
     assert mixing.entropy_mix(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+@pytest.mark.parametrize("share", [0.5, 1.5])
+def test_a_wish_met_at_the_edge_of_a_bin(spark, n, share):
+    """Documents of one size: the wanted words end with a document, and mostly with a bin."""
+    d = spark.createDataFrame([(i, "a b c", "s") for i in range(n)], "doc_id bigint, text string, source string")
+    got = mixing.entropy_mix(d, share=share).agg(F.first("target"), F.sum("taken"), F.count(F.lit(1))).first()
+    assert tuple(got) == (share * 3 * n, share * 3 * n, n)
+    assert mixing.mix_copies(d, share=share).count() == share * n
+
+
+def test_sources_of_equal_documents_meet_their_targets(spark):
+    rows = [(i, "one", "abcd"[i % 4]) for i in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.entropy_mix(d).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).toPandas()
+    assert (abs(got.taken - got.target) <= 0.5 + 1e-9).all()
+
+
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 
