@@ -79,6 +79,19 @@ def test_segments_are_linear_in_time():
     assert toxicity.maximal_segments(hits)
 
 
+def test_only_near_copies_are_left_out_of_the_sample(spark):
+    """Texts around one common passage stay, each with its own words; copies and near copies are one."""
+    passage = " ".join(f"licence{k}" for k in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(12)), "en") for i in range(300)]
+    long = [f"word{k}" for k in range(400)]
+    rows += [(1000 + i, " ".join([*long[:200], f"new{i}", *long[200:]]), "en") for i in range(50)] + [(2000 + i, "a copy of one text", "en") for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 1) for i, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    sample, n1, _ = toxicity._label_rows(docs(spark, rows), labels, F.lit(True), 4000)
+    got = [r.text for r in sample.collect()]
+    assert n1 == 400 and {t for _, t, _ in rows[:300]} <= set(got)
+    assert len(got) <= 300 + 5 + 1 and "a copy of one text" in got
+
+
 def test_toxicity_of_held_out_texts(spark):
     d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = toxicity.detect_toxicity(d, labels).join(labels, "doc_id").toPandas()
