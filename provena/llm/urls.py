@@ -147,19 +147,33 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, fit_rows: int = 20_000, max_suffixes: int = 2000, ridge: float = 1.0) -> UrlModel:
-    """Learn from ``url, host, path, block`` (block 0 or 1): a sample of at most about ``fit_rows`` rows a class, by hash."""
+    """Learn from ``url, host, path, block`` (block 0 or 1): a sample of at most about ``fit_rows`` rows a class, by hash.
+
+    Each url keeps its share of its copies, rounded up or down by its hash, so a hot url stays at its part of the rows. Rows
+    weigh by the full class sizes, from which the prior comes too.
+    """
     sizes = {r["block"]: r["n"] for r in labelled.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return UrlModel(base=1.0 if n1 else -1.0)
-    share = F.when(F.col("block") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0))
-    sample = materialize(labelled.filter(unit_hash(F.col("url"), seed=7) < share), "url-sample")
+    sample = labelled
+    if fit_rows < max(n1, n0):
+        share = F.when(F.col("block") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0))
+        # the sample's copies of a url: their expectation is share times all of them
+        copies = F.floor(F.count(F.lit(1)) * F.first("_share") + unit_hash(F.col("url"), seed=7)).cast("int")
+        distinct = labelled.withColumn("_share", share).groupBy("url", "host", "path", "block").agg(copies.alias("_copies"))
+        sample = distinct.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies", "_nth")
+    sample = materialize(sample, "url-sample")
+    drawn = {r["block"]: r["n"] for r in sample.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = sum(drawn.values()) / (n1 + n0)
+    # 1 for all rows unless a class is sampled; the weights sum to the sample's size
+    heavy = {k: n * scale / max(drawn.get(k, 0), 1) for k, n in ((1, n1), (0, n0))}
+    weight = F.when(F.col("block") == 1, heavy[1]).otherwise(heavy[0])
     model = UrlModel(base=0.0)
-    got = sample.agg(F.avg("block").alias("p")).first()
-    model.prior = float(got["p"] or 0.5)
+    model.prior = n1 / (n1 + n0)
     model.base = math.log(max(model.prior, 1e-6) / max(1 - model.prior, 1e-6))
     for name, key in STATISTICS.items():
-        stats = sample.groupBy(key(F.col("host"), F.col("path")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("s"))
+        stats = sample.groupBy(key(F.col("host"), F.col("path")).alias("k")).agg(F.sum(weight).alias("n"), F.sum(F.col("block") * weight).alias("s"))
         kept = stats.orderBy(F.desc("n"), "k").limit(max_suffixes).collect()
         model.rates[name] = {r["k"]: (r["s"] + 20 * model.prior) / (r["n"] + 20) for r in kept}
     columns = model.features(F.col("url"), F.col("host"), F.col("path"))
@@ -176,7 +190,7 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rat
             out = out + (F.col(name) > cut).cast("int")
         return out
 
-    cells = materialize(rows.groupBy(*[binned(n).alias(f"b_{n}") for n in names]).agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("block").cast("double").alias("y")), "url-cells")
+    cells = materialize(rows.groupBy(*[binned(n).alias(f"b_{n}") for n in names]).agg(F.sum(weight).alias("w"), F.sum(F.col("block") * weight).alias("y")), "url-cells")
     discard(rows)
     state = cells.withColumn("f", F.lit(model.base))
     for t in range(trees):

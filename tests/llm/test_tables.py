@@ -169,6 +169,18 @@ def test_trees_learn_lexical_marks(spark):
     assert np.mean([got[i] == ("block" if y else "allow") for i, (_, y) in enumerate(rows)]) > 0.98
 
 
+def test_sampled_training_keeps_hot_urls_at_their_part(spark):
+    """A class of one url with many copies is learned from, and the prior is that of all labelled rows."""
+    hot = [f"http://pills.com/{'9' * (9 + k)}/x" for k in range(2)]
+    rows = [(u, 1) for u in hot for _ in range(400)] + [(f"http://site{i}.com/page/{i}", 0) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, block int")
+    known = labelled.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), "block")
+    assert urls.fit(known, trees=1, fit_rows=60).prior == 800 / 1200
+    d = spark.createDataFrame([(k, u) for k, u in enumerate([*hot, *(u for u, y in rows if not y)])], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(d, rules=(), labelled=labelled, fit_rows=60, trees=4).collect()}
+    assert got[0] == got[1] == "block" and np.mean([v == "allow" for k, v in got.items() if k > 1]) > 0.98
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "t string").select(urls.entropy(F.col("t"))).collect()
     assert [round(r[0], 6) for r in got] == [1.0, 0.0, 2.0]
