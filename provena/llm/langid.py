@@ -158,8 +158,8 @@ def identify_languages(docs: DataFrame, folds: int = 3, held_out: int = 1, fit_d
     return predict(docs, model).select("doc_id", is_held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, folds: int = 3, held_out: int = 1, fit_docs: int = 3000) -> DataFrame:
-    """Rows of ``docs`` whose language is identified with at least ``min_score``; ``und`` goes."""
+def keep_identified(docs: DataFrame, min_score: float = 0.0, folds: int = 3, held_out: int = 1, fit_docs: int = 3000) -> DataFrame:
+    """Rows of ``docs`` whose language is identified with at least ``min_score`` (by default any score); ``und`` goes."""
     model = fit(docs, fold(F.col("doc_id"), folds) != held_out, fit_docs)
     scored = predict(docs, model, tuple(docs.columns)) if not {"lang_pred", "score"} & set(docs.columns) else None
     if scored is None:

@@ -38,6 +38,15 @@ def test_language_odd_rows(spark):
     assert langid.identify_languages(docs(spark, [])).count() == 0
 
 
+def test_short_texts_of_several_languages_stay(spark):
+    """A word that six languages share has a posterior of about a sixth; it is clean text all the same."""
+    rows = [(i, "radio taxi hotel " * 3, lang) for i, lang in enumerate(["en", "de", "fr", "es", "it", "nl"] * 60)] + [(900, "taxi", None), (901, "7", None)]
+    x = docs(spark, rows).drop("score")
+    scores = {r.doc_id: r.score for r in langid.identify_languages(x).collect()}
+    assert 0 < scores[900] < 0.5
+    assert {r.doc_id for r in langid.keep_identified(x).collect()} == {i for i, _, _ in rows} - {901}
+
+
 def test_language_counts_equal_brute_force():
     texts = ["Ab, cd", None, "é x", "", "ab"]
     got = {}
