@@ -95,7 +95,8 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
         if not os.path.isdir(d):
             raise SourceNotFound(f"no folder {d}")
     names = resolve_classes(data_dir, labels_dir, classes)
-    glob = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP,Jpg,Jpeg,Png,Bmp}"
+    # suffixes in any mixture of cases
+    glob = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in IMAGE_SUFFIXES) + "}"
     found = _listing(spark, images_dir, glob, True)
     found = found.withColumn("dims", dimensions(F.col("content"))).drop("content")
     if default_dims is not None:

@@ -105,6 +105,13 @@ def test_yolo_orphans_and_spill(spark, tmp_path):
         load_dataset(spark, path, strict_bounds=True, strict_orphans=False)
 
 
+def test_yolo_suffixes_in_any_case(spark, tmp_path):
+    path = yolo_folder(tmp_path)
+    (tmp_path / "images" / "img1.png").rename(tmp_path / "images" / "img1.pNg")
+    d = load_dataset(spark, path)
+    assert tuple(d.counts().first()) == (3, 2) and not d.warnings
+
+
 def test_detection(tmp_path):
     (tmp_path / "a.json").write_text("{}")
     assert detect_format(str(tmp_path)) == "coco" and detect_format(str(tmp_path / "a.json")) == "coco"
