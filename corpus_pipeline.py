@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("tokens", tokens)]
 
-#: no stage but the filters by count can be put in SQL; tests hold the rows against a brute-force version
+#: no stage but the filters by count can be put in SQL; tests check ids, columns and counts of the stages, not the rows themselves
 ORACLE_SQL = None
 
 
