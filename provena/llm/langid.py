@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, fold, unit_hash, with_text
+from provena.llm.text import chunks, column_ddl, fold, free_names, quoted, unit_hash, with_text
 from provena.runtime import ship_package
 
 ORDERS = (1, 2, 3)
@@ -128,25 +128,25 @@ def fit(docs: DataFrame, is_train: Column, fit_docs: int = 3000, max_langs: int
     return LanguageModel(langs, np.log(n / n.sum()), np.log(table / table.sum(0)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``lang_pred`` and ``score`` for every row of ``docs``."""
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns plus predicted language and score (columns ``names``) for every row of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"{column_ddl(f)}" for f in fields) + f", `{names[0]}` string, `{names[1]}` double"
     rows, name = with_text(docs, keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, values = [], []
+            found, values = [], []
             for _, texts in chunks(batch, name):
                 lang, best = shared.value.scores(texts)
-                names += lang
+                found += lang
                 values.append(best)
             cols = [batch.column(i) for i in range(len(keep))]
             best = np.concatenate(values) if values else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(best, pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(score, schema)
 
@@ -161,7 +161,6 @@ def identify_languages(docs: DataFrame, folds: int = 3, held_out: int = 1, fit_d
 def keep_identified(docs: DataFrame, min_score: float = 0.0, folds: int = 3, held_out: int = 1, fit_docs: int = 3000) -> DataFrame:
     """Rows of ``docs`` whose language is identified with at least ``min_score`` (by default any score); ``und`` goes."""
     model = fit(docs, fold(F.col("doc_id"), folds) != held_out, fit_docs)
-    scored = predict(docs, model, tuple(docs.columns)) if not {"lang_pred", "score"} & set(docs.columns) else None
-    if scored is None:
-        raise ValueError("docs already has a column lang_pred or score")
-    return scored.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*docs.columns)
+    lang, score = free_names(docs.columns, "lang_pred", "score")
+    scored = predict(docs, model, tuple(docs.columns), (lang, score))
+    return scored.filter((F.col(lang) != UND) & (F.col(score) >= min_score)).select(*quoted(docs.columns))

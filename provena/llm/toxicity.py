@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, fold, unit_hash, with_text
+from provena.llm.text import chunks, column_ddl, fold, free_names, quoted, unit_hash, with_text
 from provena.runtime import discard, materialize, ship_package
 
 WORDS = re.compile(r"\w+")
@@ -327,22 +327,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), with_passages: bool = False) -> DataFrame:
-    """``keep`` columns plus ``tox_score`` (and ``passages``: token start, end and normalised score) for every row."""
+def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), with_passages: bool = False, score_name: str = "tox_score") -> DataFrame:
+    """``keep`` columns plus the score (and ``passages``: token start, end and normalised score) for every row."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", tox_score double"
+    schema = ", ".join(column_ddl(docs.schema[c]) for c in keep) + f", `{score_name}` double"
     schema += ", passages array<struct<start: int, end: int, score: double>>" if with_passages else ""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     rows, name = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
             scores, spans = [], []
             for _, texts in chunks(batch, name):
-                m = shared.value
                 for text in texts:
                     found = m.passages(*m.hits(text))
                     scores.append(m.score(min(60.0, m.evidence([x for _, x in found]))))
@@ -350,7 +350,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
                         spans.append([{"start": g.start, "end": g.end, "score": x} for g, x in found])
             cols = [batch.column(i) for i in range(len(keep))]
             cols += [pa.array(scores, pa.float64())] + ([pa.array(spans, kind)] if with_passages else [])
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "tox_score"] + ["passages"] * with_passages)
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, score_name] + ["passages"] * with_passages)
 
     return rows.mapInArrow(run, schema)
 
@@ -365,7 +365,7 @@ def detect_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_docs: int = 4000) -> DataFrame:
     """Rows of ``docs`` whose score is below 0.5, with the columns of ``docs``."""
-    if {"tox_score"} & set(docs.columns):
-        raise ValueError("docs already has a column tox_score")
+    (score,) = free_names(docs.columns, "tox_score")
     model = fit(docs, labels, fold(F.col("doc_id"), folds) != held_out, fit_docs)
-    return score_documents(docs, model, tuple(docs.columns)).filter(F.col("tox_score") < 0.5).select(*docs.columns)
+    scored = score_documents(docs, model, tuple(docs.columns), score_name=score)
+    return scored.filter(F.col(score) < 0.5).select(*quoted(docs.columns))
