@@ -2,8 +2,9 @@
 
 An archive starts with a skippable frame that holds the dictionary; every record follows as a frame of its own, compressed
 with it. The reader takes the dictionary from that frame, decodes one frame per record and checks version line, headers,
-lengths, digests and the closing line breaks. Rows are grouped into archives by a hash of their content key, each archive is
-written beside its final name and then moved there, so a repeated task leaves the same files.
+lengths, digests and the closing line breaks. Every attempt of a task writes archives of names of its own, and the names of those that
+count are rows of a table, which Spark commits once a task. Readers go by this table: what an attempt that was lost, or
+repeated, has left in the folder is never read.
 
 Of records with equal payloads (SHA-1 and length) of at least ``MIN_REVISIT`` bytes the one with the largest page_id
 is a response; the others are revisits with the HTTP head alone.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.text import unit_hash
-from provena.runtime import discard, materialize, scratch_path, ship_package
+from provena.runtime import materialize, scratch_path, ship_package, shuffle_width
 
 MIN_REVISIT = 1000
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed by the format
@@ -239,17 +241,16 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         task = TaskContext.get()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
+        attempt = uuid.uuid4().hex
         done: list[tuple[str, int, int]] = []
         current: ArchiveWriter | None = None
 
         def close(w: ArchiveWriter) -> None:
-            name = f"{folder}/part-{task.partitionId():06d}-{len(done):05d}.warc.zst"
-            draft = f"{folder}/.draft-{task.taskAttemptId()}-{len(done)}"
-            with store.open_output_stream(draft) as f:
+            name = f"part-{task.partitionId():06d}-{attempt}-{len(done):05d}.warc.zst"
+            with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 for part in w.parts:
                     f.write(part)
-            store.move(draft, name)
-            done.append((name.rsplit("/", 1)[1], len(w.parts) - 1, w.size))
+            done.append((name, len(w.parts) - 1, w.size))
 
         for batch in batches:
             ids, urls, html, digests, refers = (batch.column(i) for i in range(5))
@@ -267,36 +268,71 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     return materialize(planned.mapInArrow(write, "archive string, records bigint, bytes bigint"), "warc-written")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """``page_id, target, payload_bytes, payload_digest, record_type, refers_to`` (and ``payload``) of all archives below ``path``."""
+_FIELDS = {
+    "page_id": ("bigint", pa.int64()),
+    "target": ("string", pa.string()),
+    "payload_bytes": ("bigint", pa.int64()),
+    "payload_digest": ("string", pa.string()),
+    "record_type": ("string", pa.string()),
+    "refers_to": ("bigint", pa.int64()),
+    "payload": ("binary", pa.binary()),
+}
+
+
+def _page_of(urn: str | None) -> int | None:
+    tail = (urn or "").strip("<>").rpartition(":")[2]
+    return int(tail) if tail else None
+
+
+def _record_rows(content, with_payload: bool) -> pa.RecordBatch:
+    """Responses and revisits of one archive's bytes."""
+    names = [n for n in _FIELDS if with_payload or n != "payload"]
+    out: dict[str, list] = {n: [] for n in _FIELDS}
+    for record in read_archive(content):
+        kind = record.headers["warc-type"]
+        if kind not in ("response", "revisit"):
+            continue
+        http, body = http_payload(record)
+        label = record.headers.get("warc-payload-digest", "")
+        out["page_id"].append(_page_of(record.headers["warc-record-id"]))
+        out["target"].append(record.headers.get("warc-target-uri"))
+        out["payload_bytes"].append(int(http["content-length"]))
+        out["payload_digest"].append(base64.b32decode(label[5:]).hex() if label.startswith("sha1:") else None)
+        out["record_type"].append(kind)
+        out["refers_to"].append(_page_of(record.headers.get("warc-refers-to")))
+        out["payload"].append(body if with_payload else None)
+    return pa.RecordBatch.from_arrays([pa.array(out[n], _FIELDS[n][1]) for n in names], names=names)
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False, archives: DataFrame | None = None) -> DataFrame:
+    """``page_id, target, payload_bytes, payload_digest, record_type, refers_to`` (and ``payload``) of archives below ``path``.
+
+    ``archives``: a table of their names, as ``write_archives`` returns it; others are not read. Without it all ``*.warc.zst`` files
+    of the folder are, whoever wrote them. One row a record; a file that is not well formed is an error.
+    """
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    schema = "page_id bigint, target string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else "")
+    schema = ", ".join(f"{n} {kind}" for n, (kind, _) in _FIELDS.items() if with_payload or n != "payload")
+    if archives is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
+    else:
+        width = max(1, min(shuffle_width(spark), archives.count()))
+        files = archives.select("archive").repartition(width, F.xxhash64("archive"))
+
+    def read_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def number(urn: str | None) -> int | None:
-        tail = (urn or "").strip("<>").rpartition(":")[2]
-        return int(tail) if tail else None
+        store, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as f:
+                    yield _record_rows(f.read(), with_payload)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                out: list[list] = [[] for _ in range(7)]
-                for record in read_archive(content.as_buffer()):
-                    kind = record.headers["warc-type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    http, body = http_payload(record)
-                    label = record.headers.get("warc-payload-digest", "")
-                    digest = base64.b32decode(label[5:]).hex() if label.startswith("sha1:") else None
-                    row = (number(record.headers["warc-record-id"]), record.headers.get("warc-target-uri"), int(http["content-length"]), digest, kind, number(record.headers.get("warc-refers-to")), body)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                names = ["page_id", "target", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                n = 7 if with_payload else 6
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out[:n], types[:n], strict=True)], names=names[:n])
-
-    return files.mapInArrow(read, schema)
+                yield _record_rows(content.as_buffer(), with_payload)
+
+    return files.mapInArrow(read_whole if archives is None else read_named, schema)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -304,7 +340,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     written = write_archives(pages, path)
-    if not written.limit(1).count():
-        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    discard(written)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, archives=written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
