@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.vectors import Search, best_distinct, search_all, usable
+from provena.llm.vectors import Search, least_first, search_all, usable
 
 SCALE = 1024
 WIDTH = 8
@@ -59,8 +59,7 @@ def bounding_searcher(ids: np.ndarray, queries: np.ndarray, k: int, width: int =
             if not (top * widest * dim < EXACT and masses.max(initial=0.0) * len(groups) < EXACT and mass[q].sum() < EXACT):
                 other = np.flatnonzero(block_ids != ids[q])
                 exact = _wide(qs[q], xs[other])
-                order = sorted(range(len(other)), key=lambda i: (-int(exact[i]), block_ids[other[i]]))
-                keep = list({(int(block_ids[other[i]]), int(exact[i])): i for i in reversed(order)}.values())[::-1][:k]
+                keep = sorted(range(len(other)), key=lambda i: (-int(exact[i]), block_ids[other[i]]))[:k]
                 vec, score = block_ids[other[keep]], exact[keep]
             else:
                 alive = np.flatnonzero(block_ids != ids[q])
@@ -84,11 +83,11 @@ def bounding_searcher(ids: np.ndarray, queries: np.ndarray, k: int, width: int =
                         stay = partial + reach >= bound
                         if stay.sum() < 0.9 * len(alive):
                             alive, partial, rest_x = alive[stay], partial[stay], rest_x[stay]
-                keep = best_distinct(block_ids[alive], -partial, k)
+                keep = least_first(block_ids[alive], -partial, k)
                 vec, score = block_ids[alive[keep]], partial[keep].astype(np.int64)
                 a, b = kept[q]
                 a, b = np.concatenate([a, vec]), np.concatenate([b, score])
-                keep = best_distinct(a, -b, k)
+                keep = least_first(a, -b, k)
                 kept[q] = (a[keep], b[keep])
                 if len(keep) >= k:
                     least[q] = float(kept[q][1][-1])

@@ -1,8 +1,8 @@
 """Query sets against all vectors, in blocks.
 
-A stated query set is cut into waves of at most ``WAVE`` queries by a hash; a wave's vectors are collected and broadcast
-(its size is bounded by the wave's length times the widest vector, and checked), and every partition of the table searches
-its own rows block by block. Each block gives at most k rows a query; a window keeps the best k of them.
+A stated query set is cut into waves of at most ``WAVE`` queries and ``WAVE_BYTES`` bytes by a hash. One wave at a time is collected
+and broadcast (its size is checked), and every partition of the table searches its own rows block by block. Each block gives at most k
+rows a query; a window keeps the best k of them. Of several waves each is written before the next is collected.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.runtime import ship_package
+from provena.runtime import materialize, ship_package
 
 WAVE = 8192
 WAVE_BYTES = 128 << 20
@@ -49,74 +50,73 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tup
             b.append(matrix)
             n += len(mine)
             if n >= size:
-                yield _once(np.concatenate(a), np.concatenate(b))
+                yield np.concatenate(a), np.concatenate(b)
                 a, b, n = [], [], 0
             held[int(dim)] = (a, b, n)
     for a, b, n in held.values():
         if n:
-            yield _once(np.concatenate(a), np.concatenate(b))
-
-
-def _once(ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without repeated rows."""
-    values, dense = np.unique(ids, return_inverse=True)
-    if len(values) == len(ids):
-        return ids, matrix
-    _, first = np.unique(np.concatenate([dense[:, None].astype(float), matrix], 1), axis=0, return_index=True)
-    first.sort()
-    return ids[first], matrix[first]
+            yield np.concatenate(a), np.concatenate(b)
 
 
 def search_all(vectors: DataFrame, is_query: Column, k: int, score_type: str, descending: bool, searcher: Callable[[np.ndarray, np.ndarray], Search], block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every query among the rows (vec_id, vector) of ``vectors``.
 
     One query a vec_id (of repeated ids with several vectors the least vector asks); rows with the query's id are its own.
-    Repeated candidate rows of one vec_id and score count once.
+    Every other row is a candidate, so repeated rows of one vec_id can take several ranks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    total = asked.count()
-    waves = max(1, -(-total // (WAVE // 2)))  # half full on average, so that hashing does not overfill one
-    dtype = pa.float64() if score_type == "double" else pa.int64()
-    out: DataFrame | None = None
+    total, widest = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    # half full on average, so that hashing does not overfill a wave
+    waves = max(1, -(-total * 2 * 8 * (widest or 1) // WAVE_BYTES), -(-total * 2 // WAVE))
+    if waves > 1:
+        asked = materialize(asked, "asked")
+    parts = []
     for wave in range(waves):
         mine = asked if waves == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave)
-        rows = mine.orderBy("vec_id").collect()
-        if sum(8 * len(r["vector"]) for r in rows) > WAVE_BYTES:
-            raise ValueError("a wave of queries is too large to broadcast; lower WAVE")
-        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {len(r["vector"]) for r in rows}:
-            same = [r for r in rows if len(r["vector"]) == dim]
-            by_dim[dim] = (np.array([r["vec_id"] for r in same], np.int64), np.array([r["vector"] for r in same], np.float64))
-        shared = spark.sparkContext.broadcast(by_dim)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searches = {dim: searcher(ids, m) for dim, (ids, m) in shared.value.items()}
-            for ids, matrix in blocks(batches, block):
-                dim = matrix.shape[1]
-                if dim in searches:
-                    place, vec, score = searches[dim](ids, matrix)
-                    yield pa.record_batch([pa.array(shared.value[dim][0][place]), pa.array(vec), pa.array(score, dtype)], ["query_id", "vec_id", "score"])
-
-        found = vectors.select("vec_id", "vector").mapInArrow(run, f"query_id bigint, vec_id bigint, score {score_type}")
-        out = found if out is None else out.union(found)
-    best = F.col("score").desc() if descending else F.col("score").asc()
-    ranked = Window.partitionBy("query_id").orderBy(best, "vec_id")
-    once = out.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(ranked))
-    return once.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def best_distinct(ids: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least keys, ties to the lesser id, of repeated (id, key) rows one."""
+        found, shared = _one_wave(vectors, mine, score_type, searcher, block)
+        if waves > 1:  # done before the next one's queries come to the driver
+            found = materialize(_best(found, k, descending), "found")
+            shared.destroy()
+        parts.append(found)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out if waves > 1 else _best(out, k, descending)
+
+
+def _best(found: DataFrame, k: int, descending: bool) -> DataFrame:
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc() if descending else F.col("score").asc(), "vec_id")
+    rank = F.row_number().over(ranked).cast("int")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _one_wave(vectors: DataFrame, asked: DataFrame, score_type: str, searcher, block: int) -> tuple[DataFrame, Broadcast]:
+    rows = asked.orderBy("vec_id").collect()
+    if sum(8 * len(r["vector"]) for r in rows) > WAVE_BYTES:
+        raise ValueError("a wave of queries is too large to broadcast; lower WAVE")
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["vector"]) for r in rows}:
+        same = [r for r in rows if len(r["vector"]) == dim]
+        by_dim[dim] = (np.array([r["vec_id"] for r in same], np.int64), np.array([r["vector"] for r in same], np.float64))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_dim)
+    dtype = pa.float64() if score_type == "double" else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = {dim: searcher(ids, m) for dim, (ids, m) in shared.value.items()}
+        for ids, matrix in blocks(batches, block):
+            dim = matrix.shape[1]
+            if dim in searches:
+                place, vec, score = searches[dim](ids, matrix)
+                yield pa.record_batch([pa.array(shared.value[dim][0][place]), pa.array(vec), pa.array(score, dtype)], ["query_id", "vec_id", "score"])
+
+    return vectors.select("vec_id", "vector").mapInArrow(run, f"query_id bigint, vec_id bigint, score {score_type}"), shared
+
+
+def least_first(ids: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least keys in order, ties to the lesser id."""
+    near = np.arange(len(ids))
     if len(ids) > 4 * k:
-        cut = np.partition(key, k - 1)[k - 1]
-        near = np.flatnonzero(key <= cut)
-        if len(np.unique(ids[near])) < k:  # repeated rows fill the front
-            near = np.arange(len(ids))
-    else:
-        near = np.arange(len(ids))
-    order = near[np.lexsort((ids[near], key[near]))]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (ids[order[1:]] != ids[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
-    return order[fresh][:k]
+        near = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], key[near]))][:k]
