@@ -1,26 +1,31 @@
 """Mixing sources to target weights by entropy balancing.
 
-Documents i of source s get rates r_i that stay as close as possible, in relative entropy over words, to the base
-rate 1, under one token constraint per source: sum(size_i * r_i) = target_s. Its convex dual has one multiplier a
-source; the optimum is the exponential tilt r_i = exp(lambda_s), bounded by the copy limit. Newton steps on the
-dual run as DataFrame iterations over the sources' sums (the tilt is constant within a source, so these sums
-are all that a pass over the documents would add up to). Rates are then rounded to whole copies: every document
-gets floor(r) copies, and one more where its hash lies below a cut chosen, from a histogram of hashed words per
-source, so that the source's words meet its target to within a document.
+Documents i of source s get rates r_i between 0 and ``cap`` that stay as close as possible, in relative entropy over documents, to the
+base rate 1, under one token constraint a source: sum(size_i * r_i) = target_s. The optimum is an exponential tilt of each
+document, r_i = min(cap, exp(lambda_s * size_i / mean_s)), so among the documents of a source that must grow the longer ones are
+taken more often, and where it must shrink they are the first to go. The convex dual, in the multipliers lambda, is solved by Newton
+iterations: each is one distributed sum of words and of their derivative over all documents (equal sizes of a source are
+summed once, with their number), inside a bracket that every iteration narrows; a dual that has not converged is an error.
+
+Rates become whole copies: floor(r_i), and one more for a share r_i - floor(r_i) of the documents. Documents line up by their hashed
+place divided by that share, and are taken in this order until the source's words meet its target to within half a document.
+The cut is found in a histogram of words over the order; only one bin a source is sorted.
 
 Cases. Null text has size 0; documents of size 0 take 0 words. A null source is a source of its own, last in
 the order. A source without words has target 0. Repeated rows with one doc_id and text hash alike and are taken
 alike, so reruns agree; a source may miss its target by the words of such rows at its cut. An empty table gives an empty result.
-Extra columns are ignored. Only per-round scalars come to the driver.
+Extra columns are ignored. Only scalars come to the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.text import free_names, quoted
 from provena.runtime import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +33,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS, BIN_ROWS = 1024, 4096
 #: a table of so many sources at most (about 100 bytes each) is broadcast
 BROADCAST_SOURCES = 100_000
+#: Newton iterations at most, and how many run in one job; the largest miss of a target, in parts of it
+ROUNDS, FUSED, TOLERANCE = 120, 3, 1e-9
+#: sums are kept as whole numbers of this part of a word, so that they do not depend on the order of adding
+_PART = float(1 << 40)
 
 
 def word_count(text: Column) -> Column:
@@ -72,101 +81,152 @@ def source_targets(sources: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1
     return table.select("source", "source_size", "n_docs", "weight", target.cast("double").alias("target"))
 
 
-def newton_rates(sources: DataFrame, cap: float = 2.0, tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
-    """Adds ``lambda`` and ``rate``: the dual's optimum by damped Newton steps, all sources at once.
+def _tilted(size: Column, mean: Column, tilt: Column, cap: float) -> Column:
+    """The rate of a document: exp(tilt * size / mean), at most ``cap``."""
+    power = tilt * size / mean
+    return F.when(power < F.lit(math.log(cap)), F.exp(power)).otherwise(F.lit(float(cap)))
 
-    Gradient: words at the present tilt minus target; curvature: words at the present tilt. A source whose target
-    is 0 gets rate 0; one at the cap gets the cap.
-    """
-    size, target = F.col("source_size").cast("double"), F.col("target")
-    state = F.when((size > 0) & (target > 0), F.lit(0.0)).alias("lambda")
-    out = sources.select("*", state)
-    spark_rounds = 0
-    while spark_rounds < rounds:
-        now = size * F.exp("lambda")
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (target - now) / now))
-        stepped = out
-        for _ in range(6):  # several steps a pass: the state is a column, so they fuse into one expression each
-            stepped = stepped.withColumn("lambda", F.col("lambda") + step)
-        out = materialize(stepped, "mix-newton")
-        spark_rounds += 6
-        worst = out.agg(F.max(F.abs(size * F.exp("lambda") - target) / target)).first()[0]
-        if worst is None or worst <= tolerance:
-            break
-    return out.withColumn("rate", F.coalesce(F.least(F.lit(float(cap)), F.exp("lambda")), F.lit(0.0)))
 
+def _whole_sum(value: Column) -> Column:
+    return F.sum((value * F.lit(_PART)).cast("decimal(38,0)")).cast("double") / F.lit(_PART)
 
-def _place(seed: int) -> Column:
-    """The hash place of a document, in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
+def _newton_step(sizes: DataFrame, state: DataFrame, cap: float, few: bool) -> DataFrame:
+    """One iteration over ``sizes`` (source, size, n) for all sources of ``state``."""
+    kept = [c for c in state.columns if c != "source"]
+    rows = attach(sizes, state, few=few)
+    rate = _tilted(F.col("size"), F.col("mean"), F.col("tilt"), cap)
+    free = F.col("tilt") * F.col("size") / F.col("mean") < F.lit(math.log(cap))
+    words = F.col("n") * F.col("size") * rate
+    slope = F.when(free, words * F.col("size") / F.col("mean")).otherwise(F.lit(0.0))
+    sums = rows.groupBy("source").agg(_whole_sum(words).alias("now"), _whole_sum(slope).alias("slope"), *[F.first(c).alias(c) for c in kept])
+    now, target, tilt = F.col("now"), F.col("target"), F.col("tilt")
+    low = F.when(now < target, tilt).otherwise(F.col("low"))
+    high = F.when(now < target, F.col("high")).otherwise(tilt)
+    far = F.lit(float("inf"))
+    # between the ends of the bracket where Newton's step leaves it; beyond its only end where there is one
+    inside = F.when(low == -far, high - 1 - F.abs(high)).when(high == far, low + 1 + F.abs(low)).otherwise((low + high) / 2)
+    newton = tilt + (target - now) / F.col("slope")
+    step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise(inside)
+    miss = F.abs(now - target) / target
+    moved = {"tilt": F.when(miss <= TOLERANCE, tilt).otherwise(step), "low": low, "high": high, "miss": miss}
+    return sums.select("source", *[moved.get(c, F.col(c)).alias(c) for c in kept])
 
-def _bin() -> Column:
-    return F.floor(F.col("_place") * F.col("n_bins")).cast("long")
+
+def solve_dual(sizes: DataFrame, sources: DataFrame, cap: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
+    """``source, tilt, mean`` of the sources whose target lies between 0 and ``cap`` times their size.
+
+    ``sizes`` has ``source, size, n`` (n documents of one size above 0), ``sources`` has ``source, source_size, n_docs, target``.
+    """
+    few = sources.count() <= BROADCAST_SOURCES
+    open_ = sources.filter((F.col("target") > 0) & (F.col("target") < F.lit(cap * (1 - 1e-12)) * F.col("source_size")))
+    mean = F.col("source_size") / F.col("n_docs")
+    end = F.lit(float("inf"))
+    state = open_.select("source", "target", mean.alias("mean"), F.log(F.col("target") / F.col("source_size")).alias("tilt"), (-end).alias("low"), end.alias("high"), end.alias("miss"))
+    for _ in range(0, rounds, FUSED):
+        for _ in range(FUSED):
+            state = _newton_step(sizes, state, cap, few)
+        done = materialize(state, "mix-newton")
+        worst = done.agg(F.max("miss")).first()[0]
+        if worst is None or worst <= TOLERANCE:
+            return done.select("source", "tilt", "mean")
+        state = done
+    raise RuntimeError(f"the mix's dual has not converged in {rounds} iterations: a target is missed by {worst:.3g} of it")
+
+
+def _unit_place(seed: int) -> Column:
+    """The hash place of a document, in (0, 1)."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return (F.pmod(F.xxhash64(F.lit(seed), key, crc), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+
+
+class _Copies:
+    """Copies of a document, from its size, its hash place and its source's plan (struct columns of one name each)."""
+
+    def __init__(self, size: Column, unit: Column, plan: Callable[[str], Column], cap: float):
+        full = F.lit(float(cap)) * plan("source_size") * F.lit(1 - 1e-12)
+        tilted = _tilted(size, plan("mean"), plan("tilt"), cap)
+        rate = F.when(size <= 0, 1.0).when(plan("target") <= 0, 0.0).when(plan("target") >= full, float(cap)).otherwise(tilted)
+        self.rate = F.coalesce(rate, F.lit(0.0))
+        self.whole = F.floor(self.rate + F.lit(1e-9)).cast("long")
+        share = self.rate - self.whole
+        #: place in the order of extra copies, in [0, 1); null for documents without a share
+        self.place = F.when((share > 1e-9) & (size > 0), unit / (unit + share))
+        self.bin = F.floor(self.place * plan("n_bins")).cast("long")
+        self.plan, self.cap = plan, cap
+
+    def number(self) -> Column:
+        at = self.plan("at")
+        extra = (self.bin < at) | ((self.bin == at) & (self.place <= F.coalesce(self.plan("tau"), F.lit(-1.0))))
+        return F.least(F.lit(int(self.cap)).cast("long"), self.whole + F.coalesce(extra, F.lit(False)).cast("long"))
 
 
 def plan_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Narrow rows ``doc_id, source, size, _place`` and, by source, all that decides a document's copies.
+    """Narrow rows ``doc_id, source, size, unit`` and, by source, all that decides a document's copies.
 
-    A document of a source gets ``whole`` copies, and one more if its bin is below ``at``, or is ``at`` and its place
-    is at most ``tau``.
+    A document gets ``whole`` copies by its rate, and one more if its bin is below ``at``, or is ``at`` and its place is at
+    most ``tau``.
     """
-    if not (0 < share <= cap) or any(not (0 < w < math.inf) for w in pattern):
-        raise ValueError("share must lie in (0, cap] and weights be positive")
-    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("_place")), "mix-sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    if not (0 < share <= cap) or cap != int(cap) or any(not (0 < w < math.inf) for w in pattern):
+        raise ValueError("share must lie in (0, cap], cap be whole and weights be positive")
+    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _unit_place(seed).alias("unit")), "mix-sizes")
+    sizes = materialize(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
+    sums = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("n_docs"))
+    sources = materialize(source_targets(sums, pattern, share, cap), "mix-sources")
+    few = sources.count() <= BROADCAST_SOURCES
+    tilts = solve_dual(sizes.filter("size > 0"), sources, cap)
     n_bins = F.greatest(F.lit(BINS), F.ceil(F.col("n_docs") / F.lit(BIN_ROWS))).cast("long")
-    whole = F.floor(F.col("rate") + F.lit(1e-9)).cast("long")
-    rates = newton_rates(source_targets(sizes, pattern, share, cap), cap)
-    rates = rates.select("source", "source_size", "target", "rate", whole.alias("whole"), n_bins.alias("n_bins"))
-    rates = materialize(rates.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")), "mix-rates")
-    # words by bin: the cut falls into the bin where the wanted words run out, at its upper edge at the latest
-    by_bin = attach(narrow, rates).groupBy("source", _bin().alias("bin")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+    rates = materialize(attach(sources, tilts, "left", few).select("source", "source_size", "target", "tilt", "mean", n_bins.alias("n_bins")), "mix-rates")
+    # words by bin of the order: the cut falls into the bin where the wanted words run out, at its upper edge at the latest
+    of = _Copies(F.col("size"), F.col("unit"), F.col, cap)
+    placed = attach(narrow, rates, few=few).select("source", "size", "target", of.whole.alias("whole"), of.place.alias("place"), of.bin.alias("bin"))
+    by_bin = placed.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
+    by_bin = materialize(by_bin, "mix-bins")
+    wanted = materialize(by_bin.groupBy("source").agg((F.first("target") - F.sum("sure")).alias("wanted"), F.sum(F.when(F.col("bin").isNotNull(), F.col("words"))).alias("there")), "mix-wanted")
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.col("wanted") - F.coalesce(F.sum("words").over(before), F.lit(0))
-    cuts = by_bin.withColumn("rest", rest).filter((F.col("rest") > 0) & (F.col("rest") <= F.col("words")))
-    cuts = materialize(cuts.select("source", F.col("bin").alias("at"), "rest"), "mix-cuts")
-    # only the rows of the bins with a cut are ordered
-    edge = attach(attach(narrow, rates), cuts).filter(_bin() == F.col("at"))
-    run = Window.partitionBy("source").orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = attach(by_bin.filter("bin is not null").drop("target"), wanted, few=few).withColumn("rest", rest)
+    cuts = materialize(cuts.filter((F.col("rest") > 0) & (F.col("rest") <= F.col("words"))).select("source", F.col("bin").alias("at"), "rest"), "mix-cuts")
+    # only the rows of the bins with a cut are ordered; copies of one row, which share a place, are one there
+    edge = attach(placed.select("source", "size", "place", "bin"), cuts, few=few).filter(F.col("bin") == F.col("at"))
+    edge = edge.groupBy("source", "place", "rest").agg(F.sum("size").alias("size"))
+    run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = edge.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") - F.col("size") / 2 <= F.col("rest"))
-    taus = taken.groupBy("source").agg(F.max("_place").alias("tau"))
-    marked = attach(attach(rates, cuts, "left"), materialize(taus, "mix-taus"), "left")
+    taus = materialize(taken.groupBy("source").agg(F.max("place").alias("tau")), "mix-taus")
+    marked = attach(attach(attach(rates, wanted, "left", few), cuts, "left", few), taus, "left", few)
     # nothing wanted, or more than there is, leaves no cut: none or all
-    full = F.col("wanted") >= F.col("source_size") - F.lit(0.5)
+    full = F.col("wanted") >= F.col("there") - F.lit(0.5)
     at = F.coalesce("at", F.when(full, F.col("n_bins")).otherwise(F.lit(0)))
-    return narrow, materialize(marked.withColumn("at", at).drop("rest", "wanted"), "mix-plan")
+    plan = marked.withColumn("at", at).select("source", "source_size", "target", "tilt", "mean", "n_bins", "at", "tau")
+    return narrow, materialize(plan, "mix-plan")
 
 
-def attach(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, by_source: DataFrame, how: str = "inner", few: bool | None = None) -> DataFrame:
     """Join on the source, null equal to null; a table of few sources (counted) is broadcast, so rows stay where they are."""
     other = by_source.withColumnRenamed("source", "_source")
-    if by_source.count() <= BROADCAST_SOURCES:
+    if by_source.count() <= BROADCAST_SOURCES if few is None else few:
         other = F.broadcast(other)
     return rows.join(other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def _copies(cap: float) -> Column:
-    extra = (_bin() < F.col("at")) | ((_bin() == F.col("at")) & (F.col("_place") <= F.coalesce("tau", F.lit(-1.0))))
-    return F.least(F.lit(int(cap)), F.col("whole") + extra.cast("long"))
-
-
 def entropy_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """``doc_id, source, size, source_size, target, rate, copies, taken`` for every row of ``docs``."""
     narrow, plan = plan_mix(docs, pattern, share, cap, seed)
-    rows = attach(narrow, plan).withColumn("copies", _copies(cap))
+    of = _Copies(F.col("size"), F.col("unit"), F.col, cap)
+    rows = attach(narrow, plan).withColumn("rate", of.rate).withColumn("copies", of.number())
     return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_copies(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     _, plan = plan_mix(docs, pattern, share, cap, seed)
-    keep = [c for c in plan.columns if c != "source"]
-    renamed = plan.select("source", F.struct(*keep).alias("_plan"))
-    rows = attach(docs.select("*", _place(seed).alias("_place")), renamed)
-    rows = rows.select(*[F.col(c) for c in docs.columns], "_place", *[F.col(f"_plan.{c}").alias(f"_p_{c}") for c in keep])
-    place, n_bins = F.col("_place"), F.col("_p_n_bins")
-    at_bin = F.floor(place * n_bins).cast("long")
-    extra = (at_bin < F.col("_p_at")) | ((at_bin == F.col("_p_at")) & (place <= F.coalesce("_p_tau", F.lit(-1.0))))
-    copies = F.least(F.lit(int(cap)), F.col("_p_whole") + extra.cast("long"))
-    return rows.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+    unit, size, held, nth = free_names(docs.columns, "unit", "size", "plan", "nth")
+    rows = docs.withColumn(unit, _unit_place(seed)).withColumn(size, word_count(F.col("text")))
+    by_source = plan.select("source", F.struct(*[c for c in plan.columns if c != "source"]).alias(held))
+    other, named = by_source.withColumnRenamed("source", nth), F.col("source").eqNullSafe(F.col(nth))
+    if plan.count() <= BROADCAST_SOURCES:
+        other = F.broadcast(other)
+    of = _Copies(F.col(size), F.col(unit), lambda name: F.col(held).getField(name), cap)
+    rows = rows.join(other, named).withColumn(nth, F.explode(F.array_repeat(F.lit(0), of.number().cast("int"))))
+    return rows.select(*quoted(docs.columns))
