@@ -3,8 +3,12 @@
 Only DataFrame functions are used. Training is histogram boosting with logistic loss: features are cut into few bins, labelled
 rows with equal bins are summed into one row with a weight, and each tree level is one aggregation of gradients by node,
 feature and bin; the driver sees only that histogram (nodes x features x bins), picks the splits and writes the tree as a
-CASE expression. Suffix statistics (smoothed block rates of the host's last label, and of its last two) are target-encoded
-features learned on the labelled URLs; their tables are bounded by ``max_suffixes``, rarer suffixes get the prior.
+CASE expression.
+
+Suffix statistics are target-encoded features: smoothed block rates, among the labelled URLs, of the host's last label, of its last two
+and of the path's first segment, whole and however rare. A training row gets the rates of the other ``FOLDS - 1`` folds of URLs, so no row sees
+its own label. The rates lie in tables of (hashed key, rate), which are joined; there are at most as many keys as rows in the training
+sample, at most about ``2 * fit_rows`` and 16 bytes each, so they are broadcast. Keys that the sample lacks get the prior.
 
 Cases. Null url or no ``://``: host and path empty, no rule, judged by the trees like any other. Repeated rows are
 judged alike. Very long urls are read whole. Without labelled URLs of both classes the verdict is the class there is, or
@@ -109,12 +113,14 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def _language(path: Column) -> Column:
-    """First path segment: with the suffix, where on a site a page lies."""
-    return F.regexp_extract(path, r"(?s)\A/([^/]{1,16})/", 1)
+def _section(path: Column) -> Column:
+    """First path segment, whole: with the suffix, where on a site a page lies."""
+    return F.regexp_extract(path, r"(?s)\A/([^/]+)/", 1)
 
 
-STATISTICS = {"tld": lambda h, p: _suffix(h, 1), "site": lambda h, p: _suffix(h, 2), "section": lambda h, p: _language(p)}
+STATISTICS = {"tld": lambda h, p: _suffix(h, 1), "site": lambda h, p: _suffix(h, 2), "section": lambda h, p: _section(p)}
+#: folds of URLs for out-of-fold rates; rows of the prior that smooth a rate
+FOLDS, SMOOTH = 5, 20.0
 
 
 @dataclass
@@ -122,22 +128,19 @@ class UrlModel:
     base: float
     trees: list[str] = field(default_factory=list)  # SQL expressions over the features
     cuts: dict[str, list[float]] = field(default_factory=dict)
-    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    rates: dict[str, DataFrame] = field(default_factory=dict)  # by statistic: hashed key, rate
     prior: float = 0.5
 
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        out = lexical_features(url, host, path)
+    def with_features(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with url, host, path) and a column a feature."""
+        host, path = F.col("host"), F.col("path")
+        out = rows.select("*", *[c.cast("double").alias(n) for n, c in lexical_features(F.col("url"), host, path).items()])
         for name, key in STATISTICS.items():
-            out[f"{name}_rate"] = self._rate(name, key(host, path))
+            table = self.rates[name].select(F.col("key").alias(f"{name}_key"), F.col("rate").alias(f"{name}_known"))
+            joined = out.join(F.broadcast(table), F.xxhash64(key(host, path)) == F.col(f"{name}_key"), "left")
+            out = joined.withColumn(f"{name}_rate", F.coalesce(f"{name}_known", F.lit(self.prior))).drop(f"{name}_key", f"{name}_known")
         return out
 
-    def _rate(self, name: str, key: Column) -> Column:
-        table = self.rates.get(name) or {}
-        if not table:
-            return F.lit(self.prior)
-        known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-        return F.coalesce(F.try_element_at(known, key), F.lit(self.prior))
-
     def margin(self) -> Column:
         """Log-odds of block, over columns named like the features."""
         total = F.lit(self.base)
@@ -146,24 +149,37 @@ class UrlModel:
         return total
 
 
-def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, fit_rows: int = 20_000, max_suffixes: int = 2000, ridge: float = 1.0) -> UrlModel:
+def feature_names() -> list[str]:
+    blank = F.lit("")
+    return [*lexical_features(blank, blank, blank), *[f"{n}_rate" for n in STATISTICS]]
+
+
+def _sample(labelled: DataFrame, n1: int, n0: int, fit_rows: int) -> DataFrame:
+    """Rows ``url, host, path, block``; each url keeps its share of its copies, rounded up or down by its hash."""
+    if fit_rows >= max(n1, n0):
+        return labelled.select("url", "host", "path", "block")
+    share = F.when(F.col("block") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0))
+    # the sample's copies of a url: their expectation is share times all of them
+    copies = F.floor(F.count(F.lit(1)) * F.first("share") + unit_hash(F.col("url"), seed=7)).cast("int")
+    distinct = labelled.withColumn("share", share).groupBy("url", "host", "path", "block").agg(copies.alias("copies"))
+    return distinct.withColumn("nth", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies", "nth")
+
+
+def _rate(s: Column, n: Column, prior: float) -> Column:
+    return (s + F.lit(SMOOTH * prior)) / (n + F.lit(SMOOTH))
+
+
+def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, fit_rows: int = 20_000, ridge: float = 1.0) -> UrlModel:
     """Learn from ``url, host, path, block`` (block 0 or 1): a sample of at most about ``fit_rows`` rows a class, by hash.
 
-    Each url keeps its share of its copies, rounded up or down by its hash, so a hot url stays at its part of the rows. Rows
-    weigh by the full class sizes, from which the prior comes too.
+    A hot url stays at its part of the rows. Rows weigh by the full class sizes, from which the prior comes too.
     """
     sizes = {r["block"]: r["n"] for r in labelled.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return UrlModel(base=1.0 if n1 else -1.0)
-    sample = labelled
-    if fit_rows < max(n1, n0):
-        share = F.when(F.col("block") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0))
-        # the sample's copies of a url: their expectation is share times all of them
-        copies = F.floor(F.count(F.lit(1)) * F.first("_share") + unit_hash(F.col("url"), seed=7)).cast("int")
-        distinct = labelled.withColumn("_share", share).groupBy("url", "host", "path", "block").agg(copies.alias("_copies"))
-        sample = distinct.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies", "_nth")
-    sample = materialize(sample, "url-sample")
+    fold = F.pmod(F.xxhash64(F.lit(77), F.col("url")), F.lit(FOLDS)).cast("int")
+    sample = materialize(_sample(labelled, n1, n0, fit_rows).withColumn("fold", fold), "url-sample")
     drawn = {r["block"]: r["n"] for r in sample.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     scale = sum(drawn.values()) / (n1 + n0)
     # 1 for all rows unless a class is sampled; the weights sum to the sample's size
@@ -172,13 +188,19 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rat
     model = UrlModel(base=0.0)
     model.prior = n1 / (n1 + n0)
     model.base = math.log(max(model.prior, 1e-6) / max(1 - model.prior, 1e-6))
+    out = sample.select("*", *[c.cast("double").alias(n) for n, c in lexical_features(F.col("url"), F.col("host"), F.col("path")).items()])
     for name, key in STATISTICS.items():
-        stats = sample.groupBy(key(F.col("host"), F.col("path")).alias("k")).agg(F.sum(weight).alias("n"), F.sum(F.col("block") * weight).alias("s"))
-        kept = stats.orderBy(F.desc("n"), "k").limit(max_suffixes).collect()
-        model.rates[name] = {r["k"]: (r["s"] + 20 * model.prior) / (r["n"] + 20) for r in kept}
-    columns = model.features(F.col("url"), F.col("host"), F.col("path"))
-    names = list(columns)
-    rows = materialize(sample.select("block", *[c.cast("double").alias(n) for n, c in columns.items()]), "url-features")
+        hashed = F.xxhash64(key(F.col("host"), F.col("path")))
+        by_fold = sample.groupBy(hashed.alias("key"), "fold").agg(F.sum(weight).alias("n"), F.sum(F.col("block") * weight).alias("s"))
+        by_fold = materialize(by_fold, "url-folds")
+        whole = by_fold.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+        whole = materialize(whole, "url-rates")
+        model.rates[name] = whole.select("key", _rate(F.col("all_s"), F.col("all_n"), model.prior).alias("rate"))
+        # a fold's own rows leave the sums; at most a row a key and fold, so no larger than the sample
+        others = by_fold.join(F.broadcast(whole), "key").select(F.col("key").alias(f"{name}_key"), F.col("fold").alias(f"{name}_fold"), _rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n"), model.prior).alias(f"{name}_rate"))
+        out = out.join(F.broadcast(others), (hashed == F.col(f"{name}_key")) & (F.col("fold") == F.col(f"{name}_fold")), "left")
+    names = feature_names()
+    rows = materialize(out.select("block", *[F.coalesce(n, F.lit(model.prior)).alias(n) for n in names]), "url-features")
     discard(sample)
     steps = [i / bins for i in range(1, bins)]
     quantiles = rows.agg(*[F.percentile_approx(n, steps, 2000).alias(n) for n in names]).first()
@@ -259,15 +281,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     probability of block, for every row.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     text, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    ruled = rows.withColumn("rule", text).withColumn("_by_rule", verdict)
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    ruled = rows.withColumn("rule", text).withColumn("by_rule", verdict)
     if labelled is None:
-        known = ruled.filter("rule is not null").select("url", "host", "path", (F.col("_by_rule") == "block").cast("int").alias("block"))
+        known = ruled.filter("rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").cast("int").alias("block"))
     else:
-        known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("int").alias("block")).filter("block is not null")
+        block = F.col("block").cast("int").alias("block")
+        known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), block).filter("block is not null")
     model = fit(known, **how)
-    columns = model.features(F.col("url"), F.col("host"), F.col("path")) if model.trees else {}
-    scored = ruled.select("*", *[c.cast("double").alias(n) for n, c in columns.items()]).withColumn("_margin", model.margin())
-    own = F.when(F.col("_margin") >= 0, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", own).alias("verdict"), (1 / (1 + F.exp(-F.col("_margin")))).alias("score"))
+    scored = (model.with_features(ruled) if model.trees else ruled).withColumn("margin", model.margin())
+    own = F.when(F.col("margin") >= 0, "block").otherwise("allow")
+    chance = 1 / (1 + F.exp(-F.col("margin")))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), chance.alias("score"))
