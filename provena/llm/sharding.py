@@ -1,11 +1,14 @@
 """Sharding by a hierarchical weighted hash tree (region, rack, shard).
 
-Every shard is a leaf with a weight. A document draws one exponential arrival per leaf, ``-ln(u) / weight``
-with ``u`` hashed from its key and the leaf's name alone; a subtree's arrival is the earliest below it, which
-is itself exponential with the subtree's total weight. The document descends from the root: at each level it
-enters the child that arrives first. So a level's draw is weighted by the children's total weights, and a
-changed weight alters only the arrivals of that leaf and of the subtrees that hold it: a heavier (or new) leaf
-only takes rows into itself, a lighter one only gives rows away, and all other rows stay where they are.
+Every shard is a leaf with a weight; a rack weighs as much as its shards, a region as much as its racks. At each level a document
+draws one exponential arrival for every child of the node it is in, ``-ln(u) / weight`` with ``u`` hashed from its key and the
+child's path alone, and enters the child that arrives first. Only the children of entered nodes are drawn, and a level's
+outcome does not depend on how weight is spread further down.
+
+So a change confines movement: where a leaf's weight changes, documents move only between the children of the nodes above it
+(regions, racks of its region, shards of its rack), into the heavier or out of the lighter subtree; inside a
+subtree whose weights are as before all documents that stay in it keep their shard. ``grow`` gives a new shard a region of its
+own: the only new weight is that region's, so documents move into the new shard and nowhere else (law ``key``).
 
 Cases. A null key hashes as its own value (it has a shard like any other). Repeated rows share a shard and get
 different slots. Null text: size 1, ``text_crc32`` 0, like the empty text. An empty table gives an empty
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 
 from provena.runtime import materialize
 
-#: bits of the md5 digest used per draw: 13 hex digits fit a long and a double exactly
+#: hex digits of the md5 digest a draw takes: 13 fit a long and a double exactly
 _DRAW_DIGITS = 13
+LEVELS = ("region", "rack", "shard")
 
 
 @dataclass(frozen=True)
@@ -43,9 +47,9 @@ def balanced_tree(shards: int = 8, racks_per_region: int = 2, shards_per_rack: i
 
 
 def grow(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
-    """One shard more: the next place of the last rack's pattern, as ``balanced_tree`` would fill it."""
-    n = len(tree)
-    return [*tree, replace(balanced_tree(n + 1)[-1], weight=weight)]
+    """One shard more, in a region and a rack of its own, so that no other subtree's weight changes."""
+    shard = max(leaf.shard for leaf in tree) + 1
+    return [*tree, Leaf(f"region-of-{shard}", f"rack-of-{shard}", shard, weight)]
 
 
 def check_tree(tree: list[Leaf]) -> None:
@@ -59,49 +63,60 @@ def check_tree(tree: list[Leaf]) -> None:
         raise ValueError("a rack belongs to one region")
 
 
-def _arrival(key: Column, leaf: Leaf) -> Column:
-    digits = F.substring(F.md5(F.concat(key, F.lit(f"|{leaf.shard}"))), 1, _DRAW_DIGITS)
-    u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**_DRAW_DIGITS))
-    return -F.log(u) / F.lit(float(leaf.weight))
-
-
-def _first(children: list[tuple[Column, Column]]) -> Column:
-    """The value whose arrival is earliest; the first child on ties."""
-    best_time, best = children[0]
-    if len(children) == 1:
-        return best
-    times = F.least(*[t for t, _ in children])
-    out = F.lit(None)
-    for t, v in reversed(children):
-        out = F.when(t == times, v).otherwise(out)
-    return out
+def _path(leaf: Leaf, level: int) -> tuple[str, ...]:
+    return (leaf.region, leaf.rack, str(leaf.shard))[: level + 1]
 
 
-def descend(tree: list[Leaf], arrivals: dict[int, Column]) -> Column:
-    """Shard reached by entering, level by level, the child that arrives first."""
-    regions: dict[str, dict[str, list[Leaf]]] = {}
-    for leaf in tree:
-        if leaf.weight > 0:
-            regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
-
-    def earliest(leaves: list[Leaf]) -> Column:
-        times = [arrivals[leaf.shard] for leaf in leaves]
-        return times[0] if len(times) == 1 else F.least(*times)
+def _arrival(key: Column, path: tuple[str, ...], weight: float) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit("|" + "/".join(path)))), 1, _DRAW_DIGITS)
+    u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**_DRAW_DIGITS))
+    return -F.log(u) / F.lit(float(weight))
 
-    def into_rack(leaves: list[Leaf]) -> Column:
-        return _first([(arrivals[leaf.shard], F.lit(leaf.shard)) for leaf in leaves])
 
-    def into_region(racks: dict[str, list[Leaf]]) -> Column:
-        return _first([(earliest(x), into_rack(x)) for x in racks.values()])
+def _enter(key: Column, children: dict[tuple[str, ...], float], number: dict[tuple[str, ...], int]) -> Column:
+    """Number of the child that arrives first; the first child on ties."""
+    if len(children) == 1:
+        return F.lit(number[next(iter(children))])
+    draws = [F.struct(_arrival(key, path, w).alias("time"), F.lit(number[path]).alias("number")) for path, w in children.items()]
+    return F.array_min(F.array(*draws)).getField("number")
 
-    return _first([(earliest([leaf for x in racks.values() for leaf in x]), into_region(racks)) for racks in regions.values()])
 
+def descend(rows: DataFrame, key: str, tree: list[Leaf], out: str) -> DataFrame:
+    """``rows`` with the shard of the column ``key`` as ``out``, reached level by level.
 
-def shard_of(key: Column, tree: list[Leaf]) -> Column:
-    """Shard column for a key column; decided by the key and the tree alone."""
+    Each level is a projection of its own over the number of the node entered before, so a document draws for the children of
+    the nodes it enters and for no others.
+    """
     check_tree(tree)
-    text = F.coalesce(key.cast("string"), F.lit("\x00null"))
-    return descend(tree, {leaf.shard: _arrival(text, leaf) for leaf in tree}).cast("int")
+    leaves = [leaf for leaf in tree if leaf.weight > 0]
+    weights: list[dict[tuple[str, ...], float]] = [{} for _ in LEVELS]
+    for leaf in leaves:
+        for level in range(len(LEVELS)):
+            path = _path(leaf, level)
+            weights[level][path] = weights[level].get(path, 0.0) + leaf.weight
+    at = None
+    for level, table in enumerate(weights):
+        number = {path: int(path[-1]) if level + 1 == len(LEVELS) else i for i, path in enumerate(table)}
+        if at is None:
+            entered = _enter(F.col(key), table, number)
+        else:
+            entered = F.lit(None)
+            for path, i in parents.items():
+                children = {p: w for p, w in table.items() if p[:-1] == path}
+                entered = F.when(F.col(at) == i, _enter(F.col(key), children, number)).otherwise(entered)
+        rows = rows.withColumn(f"{out}{level}" if level + 1 < len(LEVELS) else out, entered.cast("int"))
+        at, parents = f"{out}{level}", number
+    return rows.drop(*[f"{out}{level}" for level in range(len(LEVELS) - 1)])
+
+
+def key_text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("\x00null"))
+
+
+def shard_of(rows: DataFrame, key: str, tree: list[Leaf], out: str = "shard") -> DataFrame:
+    """``rows`` with the shard of a key column; decided by the key and the tree alone."""
+    named = rows.withColumn(f"{out}_key", key_text(F.col(key)))
+    return descend(named, f"{out}_key", tree, out).drop(f"{out}_key")
 
 
 def assign_shards(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, rows_per_bin: int = 4096) -> DataFrame:
@@ -112,37 +127,20 @@ def assign_shards(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None =
     of a bin are sorted. Copies of one key spread over the bins by their content.
     """
     grown = grow(tree) if grown is None else grown
-    check_tree(tree)
-    check_tree(grown)
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")) + F.lit(1)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null"))
-    leaves = {leaf.shard: leaf for leaf in [*tree, *grown]}
-    same = all(leaf in grown for leaf in tree)
-    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("_key"))
-    rows = rows.select("*", *[_arrival(F.col("_key"), leaf).alias(f"_a{s}") for s, leaf in leaves.items()]) if same else rows
-    if same:
-        times = {s: F.col(f"_a{s}") for s in leaves}
-        rows = rows.select("doc_id", "size", "text_crc32", "_key", descend(tree, times).cast("int").alias("shard"), descend(grown, times).cast("int").alias("grown_shard"))
-    else:
-        rows = rows.select("*", shard_of(F.col("doc_id"), tree).alias("shard"), shard_of(F.col("doc_id"), grown).alias("grown_shard"))
-    placed = materialize(rows, "shards")
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key_text(F.col("doc_id")).alias("key"))
+    placed = materialize(descend(descend(rows, "key", tree, "shard"), "key", grown, "grown_shard"), "shards")
     total = placed.count()
     bins = max(1, -(-total // (rows_per_bin * len(tree))))
-    spread = F.concat_ws("|", "_key", F.col("size").cast("string"), F.col("text_crc32").cast("string"))
-    binned = placed.withColumn("_bin", F.pmod(F.xxhash64(spread), F.lit(bins)).cast("long"))
-    counts = binned.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    spread = F.concat_ws("|", "key", F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    digits = F.conv(F.substring(F.md5(spread), 1, _DRAW_DIGITS), 16, 10).cast("long")
+    binned = placed.withColumn("bin", F.pmod(digits, F.lit(bins)).cast("long"))
+    counts = binned.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     # offsets: one row a bin, a running sum by shard; the count of bins is rows / rows_per_bin
-    before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    order = Window.partitionBy("shard", "_bin").orderBy("doc_id", "size", "text_crc32")
-    ranked = binned.withColumn("_rank", F.row_number().over(order) - F.lit(1))
-    return ranked.join(offsets, ["shard", "_bin"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("_offset") + F.col("_rank")).cast("long").alias("slot"),
-        "grown_shard",
-    )
+    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("shard", "bin").orderBy("doc_id", "size", "text_crc32")
+    ranked = binned.withColumn("rank", F.row_number().over(order) - F.lit(1))
+    slot = (F.col("offset") + F.col("rank")).cast("long")
+    return ranked.join(offsets, ["shard", "bin"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
