@@ -37,6 +37,18 @@ class StaleFeatures(FeatureError):
     pass
 
 
+class WeightsNotFound(FeatureError):
+    pass
+
+
+class IncompatibleWeights(FeatureError):
+    pass
+
+
+class BackendUnavailable(FeatureError):
+    pass
+
+
 class DetectorError(ProvenaError):
     """Detector configuration or input."""
 
@@ -51,3 +63,7 @@ class ProvenanceError(ProvenaError):
 
 class CorruptAuditLog(ProvenaError):
     pass
+
+
+class FindingError(ProvenaError):
+    """Findings, snapshots and decisions."""

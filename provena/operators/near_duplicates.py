@@ -6,16 +6,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.errors import DetectorError
-from provena.functions.vectors import cosine_block, hamming
+from provena.functions.vectors import cosine_block, hamming, unit_rows
 from provena.operators.components import connected_components
-from provena.operators.tiles import pack, run_tiles
-from provena.runtime import materialize
+from provena.operators.inputs import as_features, check_features
+from provena.operators.numbering import number_in_order
+from provena.operators.tiles import block_count, run_tiles
+from provena.runtime import materialize, parallelism
+from provena.sources.features import FeatureBatch
+from provena.sources.images import hash_dataset
 
 COSINE_THRESHOLD, HAMMING_THRESHOLD = 0.95, 8
+#: bits of a band from which hashes meet by an equi-join; narrower ones would be hot keys
+WIDE = 16
 
 
 @dataclass
@@ -40,17 +46,17 @@ def check_hamming_threshold(t: int) -> int:
 def cosine_pairs(features: DataFrame, threshold: float = COSINE_THRESHOLD) -> DataFrame:
     """``image_a, image_b, similarity`` with image_a before image_b and similarity >= threshold."""
     threshold = check_cosine_threshold(threshold)
-    rows = features.select(F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("i"), "vector")
-    blocks, n = pack(rows, ["t", "i", "vector"], features.count())
+    blocks = check_features(features).blocks(features.sparkSession)
+    rows = features.select(F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("id"), "vector")
 
     def tile(a: pd.DataFrame, ma: np.ndarray, b: pd.DataFrame, mb: np.ndarray, same: bool) -> pd.DataFrame:
         s = cosine_block(ma, mb)
         x, y = np.nonzero(np.triu(s >= threshold, 1)) if same else np.nonzero(s >= threshold)
-        left = a.iloc[x][["t", "i"]].reset_index(drop=True)
-        right = b.iloc[y][["t", "i"]].reset_index(drop=True)
-        return pd.DataFrame({"ta": left["t"], "ia": left["i"], "tb": right["t"], "ib": right["i"], "similarity": s[x, y]})
+        left, right = a.iloc[x], b.iloc[y]
+        ends = {"ta": left["t"].to_numpy(), "ia": left["id"].to_numpy(), "tb": right["t"].to_numpy(), "ib": right["id"].to_numpy()}
+        return pd.DataFrame({**ends, "similarity": s[x, y]})
 
-    found = run_tiles(blocks, None, n, tile, "ta string, ia string, tb string, ib string, similarity double")
+    found = run_tiles(rows, None, (blocks, blocks), tile, "ta string, ia string, tb string, ib string, similarity double", unit_rows)
     p, q = F.struct(F.col("ta").alias("id_type"), F.col("ia").alias("id")), F.struct(F.col("tb").alias("id_type"), F.col("ib").alias("id"))
     return found.select(F.least(p, q).alias("image_a"), F.greatest(p, q).alias("image_b"), "similarity")
 
@@ -61,20 +67,20 @@ def cosine_pairs_sql(features: DataFrame, threshold: float = COSINE_THRESHOLD) -
 
     a, b = features.alias("a"), features.alias("b")
     s = cosine(F.col("a.vector"), F.col("b.vector"))
-    pairs = a.join(b, F.col("a.image_id") < F.col("b.image_id")).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), s.alias("similarity"))
+    ends = [F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")]
+    pairs = a.join(b, F.col("a.image_id") < F.col("b.image_id")).select(*ends, s.alias("similarity"))
     return pairs.filter(F.col("similarity") >= threshold)
 
 
 def hash_pairs(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """``image_a, image_b, distance`` of hashes (``image_id, hash`` as long) at most ``threshold`` apart, exactly.
 
-    64 bits are cut into threshold + 1 bands (single bits where there are more): two hashes that near agree on one whole band, so an equi-join on
-    bands finds every pair. Equal hashes are joined once, as one node, and their images expanded afterwards.
+    Equal hashes are one node, whose images are expanded at the end. Nodes are compared in tiles by counting bits; where the threshold
+    leaves bands of ``WIDE`` bits or more, nodes that agree on no band are not compared (see ``_near_by_bands``).
     """
     threshold = check_hamming_threshold(threshold)
     images = materialize(hashes.select("image_id", "hash"), "hash-images")
-    nodes = images.select("hash").distinct()
-    near = _near_hashes(nodes, threshold)
+    near = near_hashes(images.select("hash").distinct(), threshold)
     a = images.select(F.col("image_id").alias("x"), F.col("hash").alias("ha"))
     b = images.select(F.col("image_id").alias("y"), F.col("hash").alias("hb"))
     apart = near.join(a, "ha").join(b, "hb").select("x", "y", "distance")
@@ -83,35 +89,55 @@ def hash_pairs(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFra
     return both.select(F.least("x", "y").alias("image_a"), F.greatest("x", "y").alias("image_b"), "distance")
 
 
-def band_masks(threshold: int) -> list[tuple[int, int]]:
-    """(offset, width) of the bands; none where every pair may be near."""
-    bands = threshold + 1
-    if bands > 64:
-        return []
-    edges = [i * 64 // bands for i in range(bands + 1)]
+def near_hashes(nodes: DataFrame, threshold: int) -> DataFrame:
+    """``ha, hb, distance`` of distinct hashes at most ``threshold`` apart, ha below hb."""
+    nodes = materialize(nodes, "hash-nodes")
+    if 64 // (threshold + 1) >= WIDE:
+        return _near_by_bands(nodes, threshold)
+    rows = nodes.select(F.col("hash").alias("vector"), F.col("hash").alias("key"))
+    blocks = block_count(nodes.count(), 8, parallelism(nodes.sparkSession))
+
+    def tile(a: pd.DataFrame, ma: np.ndarray, b: pd.DataFrame, mb: np.ndarray, same: bool) -> pd.DataFrame:
+        d = np.bitwise_count(ma.view(np.uint64) ^ mb.view(np.uint64).T)
+        near = np.triu(d <= threshold, 1) if same else d <= threshold
+        x, y = np.nonzero(near)
+        p, q = ma[x, 0], mb[y, 0]
+        return pd.DataFrame({"ha": np.minimum(p, q), "hb": np.maximum(p, q), "distance": d[x, y].astype(np.int32)})
+
+    return run_tiles(rows, None, (blocks, blocks), tile, "ha bigint, hb bigint, distance int", np.ascontiguousarray)
+
+
+def bands_of(threshold: int) -> list[tuple[int, int]]:
+    """(offset, width) of threshold + 1 bands of 64 bits."""
+    edges = [i * 64 // (threshold + 1) for i in range(threshold + 2)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _near_hashes(nodes: DataFrame, threshold: int) -> DataFrame:
-    bands = band_masks(threshold)
-    h = F.col("hash")
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)).alias("part")) for k, (a, w) in enumerate(bands)]) if bands else F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("part")))
+def _near_by_bands(nodes: DataFrame, threshold: int) -> DataFrame:
+    """By an equi-join on bands: of threshold + 1 bands two hashes that near agree on one whole band."""
+    bands = bands_of(threshold)
+
+    def part(h: Column, start: int, width: int) -> Column:
+        return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("hash"), a, w).alias("part")) for k, (a, w) in enumerate(bands)])
     spread = materialize(nodes.select("hash", F.explode(keys).alias("key")), "hash-bands")
     a, b = spread.select("key", F.col("hash").alias("ha")), spread.select("key", F.col("hash").alias("hb"))
     d = hamming(F.col("ha"), F.col("hb"))
     # a pair that agrees on several bands counts at the first of them
     first = F.lit(None).cast("int")
     for k, (start, w) in reversed(list(enumerate(bands))):
-        first = F.when(F.shiftrightunsigned(F.col("ha").bitwiseXOR(F.col("hb")), start).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) == 0, k).otherwise(first)
-    once = (F.col("key.band") == first) if bands else F.lit(True)
-    return a.join(b, "key").filter((F.col("ha") < F.col("hb")) & (d <= threshold) & once).select("ha", "hb", d.alias("distance"))
+        first = F.when(part(F.col("ha").bitwiseXOR(F.col("hb")), start, w) == 0, k).otherwise(first)
+    met = a.join(b, "key").filter((F.col("ha") < F.col("hb")) & (d <= threshold) & (F.col("key.band") == first))
+    return met.select("ha", "hb", d.alias("distance"))
 
 
 def hash_pairs_sql(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
-    """The plain theta join over hashes, for small tables."""
+    """The plain theta join over hashes: the readable definition, for small tables."""
     a, b = hashes.alias("a"), hashes.alias("b")
     d = hamming(F.col("a.hash"), F.col("b.hash"))
-    return a.join(b, F.col("a.image_id") < F.col("b.image_id")).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), d.alias("distance")).filter(F.col("distance") <= threshold)
+    ends = [F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")]
+    return a.join(b, F.col("a.image_id") < F.col("b.image_id")).select(*ends, d.alias("distance")).filter(F.col("distance") <= threshold)
 
 
 def clusters_of(pairs: DataFrame) -> DataFrame:
@@ -121,16 +147,13 @@ def clusters_of(pairs: DataFrame) -> DataFrame:
     return labels.join(roots, "label").select("cluster_id", F.col("node").alias("image_id"))
 
 
-def number_in_order(rows: DataFrame, order: Column, name: str, first: int = 1) -> DataFrame:
-    """Adds consecutive numbers in a global order without one sorted task: ranges are numbered and offset."""
-    ranged = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_offset") + F.col("_own") + F.lit(first - 1)).cast("bigint")).drop("_range", "_own", "_offset")
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs by their ids."""
+    return pairs.orderBy("image_a", "image_b")
 
 
-def detect_near_duplicates(features: DataFrame, threshold: float = COSINE_THRESHOLD) -> DuplicateResult:
+def detect_near_duplicates(features: DataFrame | FeatureBatch, threshold: float = COSINE_THRESHOLD) -> DuplicateResult:
+    features = as_features(features)
     pairs = materialize(cosine_pairs(features, threshold), "nd-pairs")
     return _result(features, pairs)
 
@@ -140,6 +163,30 @@ def detect_hash_duplicates(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD
     return _result(hashes, pairs)
 
 
+@dataclass
+class ImageDuplicateResult:
+    hashes: DataFrame  # image_id, file_path, hash
+    failures: DataFrame  # image_id, file_path, failure_code
+    pairs: DataFrame
+    clusters: DataFrame
+    summary: DataFrame
+
+
+def detect_image_duplicates(images: DataFrame, pixels: DataFrame, threshold: int = HAMMING_THRESHOLD) -> ImageDuplicateResult:
+    """Perceptual-hash duplicates among image files: ``images`` (image_id, file_path) and their decoded ``pixels``.
+
+    Images without a usable file are failures with a code and take no part in pairs.
+    """
+    if images.groupBy("image_id").count().filter("count > 1").limit(1).count():
+        raise DetectorError("an image id repeats")
+    done = materialize(hash_dataset(images, pixels), "image-hashes")
+    hashes = done.filter("failure_code is null").select("image_id", "file_path", "hash")
+    failures = done.filter("failure_code is not null").select("image_id", "file_path", "failure_code")
+    found = detect_hash_duplicates(hashes, threshold)
+    failed = failures.agg(F.count(F.lit(1)).alias("failed_hashes"))
+    return ImageDuplicateResult(hashes, failures, found.pairs, found.clusters, found.summary.join(failed))
+
+
 def _result(images: DataFrame, pairs: DataFrame) -> DuplicateResult:
     clusters = materialize(clusters_of(pairs), "clusters")
     counts = images.agg(F.count(F.lit(1)).alias("image_count"))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from provena.errors import DetectorError
 from provena.functions.ids import ID_TYPE
-from provena.functions.vectors import cosine_block
-from provena.operators.tiles import pack, run_tiles
-from provena.runtime import materialize
+from provena.functions.vectors import cosine_block, unit_rows
+from provena.operators.inputs import as_features, check_features, same_space
+from provena.operators.numbering import number_in_order
+from provena.operators.tiles import block_count, run_tiles
+from provena.runtime import materialize, parallelism
+from provena.sources.features import FeatureBatch
 
 NEIGHBOURS, DISAGREEMENT, MIN_SAME = 5, 0.8, 1
 SHIFT_THRESHOLD = 0.80
@@ -32,16 +35,17 @@ def _best(frame: pd.DataFrame, s: np.ndarray, other: pd.DataFrame, k: int) -> pd
     cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
     x, y = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
     # ties beyond k are settled by id here, so that a block of equal vectors stays small
-    order = np.lexsort((other["i"].to_numpy()[y], other["t"].to_numpy()[y], -s[x, y], x))
+    order = np.lexsort((other["id"].to_numpy()[y], other["t"].to_numpy()[y], -s[x, y], x))
     x, y = x[order], y[order]
     nth = np.arange(len(x)) - np.searchsorted(x, x, "left")
     x, y = x[nth < k], y[nth < k]
-    a, b = frame.iloc[x].reset_index(drop=True), other.iloc[y].reset_index(drop=True)
-    return pd.DataFrame({"qt": a["t"], "qi": a["i"], "nt": b["t"], "ni": b["i"], "similarity": s[x, y]})
+    a, b = frame.iloc[x], other.iloc[y]
+    ends = {"qt": a["t"].to_numpy(), "qi": a["id"].to_numpy(), "nt": b["t"].to_numpy(), "ni": b["id"].to_numpy()}
+    return pd.DataFrame({**ends, "similarity": s[x, y]})
 
 
 def _not_self(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> np.ndarray:
-    ka, kb = (a["t"] + "\x00" + a["i"]).to_numpy(), (b["t"] + "\x00" + b["i"]).to_numpy()
+    ka, kb = (a["t"] + "\x00" + a["id"]).to_numpy(), (b["t"] + "\x00" + b["id"]).to_numpy()
     return np.where(ka[:, None] == kb[None, :], -np.inf, s)
 
 
@@ -50,8 +54,10 @@ def nearest_others(queries: DataFrame, references: DataFrame | None, k: int) ->
 
     ``references`` None: the queries themselves. An image is never its own neighbour.
     """
-    cols = [F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("i"), "vector"]
-    q, n = pack(queries.select(*cols), ["t", "i", "vector"], queries.count())
+    spark = queries.sparkSession
+    shape = check_features(queries, "queries")
+    n = shape.blocks(spark)
+    cols = [F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("id"), "vector"]
     schema = "qt string, qi string, nt string, ni string, similarity double"
 
     def both(a: pd.DataFrame, ma: np.ndarray, b: pd.DataFrame, mb: np.ndarray, same: bool) -> pd.DataFrame:
@@ -65,10 +71,10 @@ def nearest_others(queries: DataFrame, references: DataFrame | None, k: int) ->
         return _best(a, _not_self(a, b, cosine_block(ma, mb)), b, k)
 
     if references is None:
-        found = run_tiles(q, None, n, both, schema)
+        found = run_tiles(queries.select(*cols), None, (n, n), both, schema, unit_rows)
     else:
-        r, _ = pack(references.select(*cols), ["t", "i", "vector"], references.count())
-        found = run_tiles(q, r, n, one_way, schema)
+        others = check_features(references, "references", dim=shape.dim if shape.rows else None)
+        found = run_tiles(queries.select(*cols), references.select(*cols), (n, others.blocks(spark)), one_way, schema, unit_rows)
     named = found.select(_id("qt", "qi").alias("image_id"), _id("nt", "ni").alias("neighbour_id"), "similarity")
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return named.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -98,13 +104,15 @@ def label_exclusions(images: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.select("image_id", reason.alias("reason")).filter("reason is not null")
 
 
-def detect_label_disagreement(labels: DataFrame, features: DataFrame, k: int = NEIGHBOURS, threshold: float = DISAGREEMENT, min_same: int = MIN_SAME, images: DataFrame | None = None) -> LabelResult:
+def detect_label_disagreement(labels: DataFrame, features: DataFrame | FeatureBatch, k: int = NEIGHBOURS, threshold: float = DISAGREEMENT, min_same: int = MIN_SAME, images: DataFrame | None = None) -> LabelResult:
     """Neighbours of labelled images among labelled images, with counts, competitor, score and state."""
     if isinstance(k, bool) or k < 1 or not 0 <= threshold <= 1 or min_same < 0:
         raise DetectorError("k >= 1, threshold in [0, 1] and min_same >= 0 are needed")
+    features = as_features(features)
     usable = labels.filter(F.size("labels") > 0)
-    missing = usable.join(features, "image_id", "left_anti").limit(1).count()
-    if missing:
+    if images is not None and features.join(images.select("image_id"), "image_id", "left_anti").limit(1).count():
+        raise DetectorError("features of an image that is not in the dataset")
+    if usable.join(features, "image_id", "left_anti").limit(1).count():
         raise DetectorError("a labelled image has no embedding")
     labelled = features.join(usable, "image_id", "left_semi").select("image_id", "vector")
     near = nearest_others(labelled, None, k)
@@ -134,6 +142,16 @@ def detect_label_disagreement(labels: DataFrame, features: DataFrame, k: int = N
     return LabelResult(near, findings, distribution, excluded, summary)
 
 
+def by_image(findings: DataFrame) -> DataFrame:
+    """Findings, exclusions and unscored images by their ids."""
+    return findings.orderBy("image_id")
+
+
+def by_class(classes: DataFrame) -> DataFrame:
+    """Class summaries by their category numbers."""
+    return classes.orderBy("labels")
+
+
 # --- reference shift ------------------------------------------------------------------------------------------------
 
 
@@ -144,13 +162,17 @@ class ShiftResult:
     summary: DataFrame
 
 
-def detect_shift(reference: DataFrame, query: DataFrame, threshold: float = SHIFT_THRESHOLD, failures: DataFrame | None = None) -> ShiftResult:
+def detect_shift(reference: DataFrame | FeatureBatch, query: DataFrame | FeatureBatch, threshold: float = SHIFT_THRESHOLD, failures: DataFrame | None = None) -> ShiftResult:
     """Nearest reference of each query; below the threshold (strictly) it is a shift candidate.
 
     ``failures``: ``image_id, failure_code`` of queries without features; they are unscored with their code.
     """
     if isinstance(threshold, bool) or not -1 <= threshold <= 1:
         raise DetectorError("threshold must lie in [-1, 1]")
+    same_space(reference, query)
+    if isinstance(query, FeatureBatch) and failures is None:
+        failures = query.failures
+    reference, query = as_features(reference), as_features(query)
     spark = query.sparkSession
     empty = not reference.limit(1).count()
     if empty:
@@ -188,7 +210,7 @@ class SilhouetteResult:
     summary: DataFrame
 
 
-def analyze_silhouette(labels: DataFrame, features: DataFrame, min_class: int = MIN_CLASS, dim: int | None = None) -> SilhouetteResult:
+def analyze_silhouette(labels: DataFrame, features: DataFrame | FeatureBatch, min_class: int = MIN_CLASS, dim: int | None = None) -> SilhouetteResult:
     """Cosine silhouettes of images by their full label set.
 
     ``labels``: image_id, labels (sorted array). Unscorable codes, in order: missing_label, missing_embedding, dimension_mismatch, invalid_vector,
@@ -196,6 +218,8 @@ def analyze_silhouette(labels: DataFrame, features: DataFrame, min_class: int =
     """
     if isinstance(min_class, bool) or min_class < 2:
         raise DetectorError("minimum class size is an integer of at least 2")
+    if isinstance(features, FeatureBatch):
+        dim, features = features.info.embedding_dim, as_features(features)
     v = F.col("vector").cast("array<double>")
     if dim is None:
         dim = features.agg(F.mode(F.size("vector"))).first()[0] or 0
@@ -217,9 +241,9 @@ def analyze_silhouette(labels: DataFrame, features: DataFrame, min_class: int =
     marked = sized.withColumn("reason", small)
     # classes get numbers so that tiles carry no label arrays; numeric order of the sets is the tie-break
     numbers = _class_numbers(sizes)
-    rows = marked.join(numbers, "labels").select(F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("i"), "vector", "class", F.col("reason").isNull().alias("scored"))
-    total = rows.count()
-    blocks, n = pack(rows, ["t", "i", "vector", "class", "scored"], total)
+    ends = [F.col("image_id.id_type").alias("t"), F.col("image_id.id").alias("id")]
+    rows = marked.join(numbers, "labels").select(*ends, "vector", "class", F.col("reason").isNull().cast("int").alias("scored"))
+    n = block_count(rows.count(), 8 * dim, parallelism(rows.sparkSession))
 
     def sums(a: pd.DataFrame, ma: np.ndarray, b: pd.DataFrame, mb: np.ndarray, same: bool) -> pd.DataFrame:
         d = 1.0 - cosine_block(ma, mb)
@@ -230,8 +254,8 @@ def analyze_silhouette(labels: DataFrame, features: DataFrame, min_class: int =
             out.append(_class_sums(b, d.T, a))
         return pd.concat(out)
 
-    parts = run_tiles(blocks, None, n, sums, "t string, i string, class bigint, distance double")
-    to_class = parts.groupBy(_id("t", "i").alias("image_id"), "class").agg(F.sum("distance").alias("distance"))
+    parts = run_tiles(rows, None, (n, n), sums, "t string, id string, class bigint, distance double", unit_rows)
+    to_class = parts.groupBy(_id("t", "id").alias("image_id"), "class").agg(F.sum("distance").alias("distance"))
     own = marked.filter("reason is null").join(numbers, "labels").select("image_id", "labels", F.col("class").alias("own"), "class_size")
     per = to_class.join(own, "image_id").join(numbers.select("class", F.col("labels").alias("other_labels"), F.col("size").alias("other_size")), "class")
     is_own = F.col("class") == F.col("own")
@@ -251,14 +275,12 @@ def analyze_silhouette(labels: DataFrame, features: DataFrame, min_class: int =
 
 
 def _class_numbers(sizes: DataFrame) -> DataFrame:
-    from provena.operators.near_duplicates import number_in_order
-
     return materialize(number_in_order(sizes.select("labels", F.col("class_size").alias("size")), F.col("labels"), "class"), "sil-classes")
 
 
 def _class_sums(a: pd.DataFrame, d: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
     """Summed distances of the scored rows of ``a`` to each class in ``b``."""
-    scored = np.flatnonzero(a["scored"].to_numpy())
+    scored = np.flatnonzero(a["scored"].to_numpy() == 1)
     if not len(scored) or not len(b):
         return pd.DataFrame()
     classes, place = np.unique(b["class"].to_numpy(), return_inverse=True)
@@ -266,4 +288,4 @@ def _class_sums(a: pd.DataFrame, d: np.ndarray, b: pd.DataFrame) -> pd.DataFrame
     starts = np.searchsorted(place[order], np.arange(len(classes)))
     sums = np.add.reduceat(d[scored][:, order], starts, axis=1)
     rows = a.iloc[np.repeat(scored, len(classes))]
-    return pd.DataFrame({"t": rows["t"].to_numpy(), "i": rows["i"].to_numpy(), "class": np.tile(classes, len(scored)), "distance": sums.reshape(-1)})
+    return pd.DataFrame({"t": rows["t"].to_numpy(), "id": rows["id"].to_numpy(), "class": np.tile(classes, len(scored)), "distance": sums.reshape(-1)})

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parent
 _scratch: dict[str, list[str]] = {}
@@ -66,6 +67,34 @@ def discard(df: DataFrame | None) -> None:
         _remove(df.sparkSession, path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store Spark reaches."""
+    _remove(spark, path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, replacing a former one by a rename."""
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, options)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        return None
+    return spark.read.text(path).first()["value"]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -96,5 +125,27 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+#: rows and bytes of a table that may be broadcast
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast: its rows and characters are counted."""
+    rows = df.limit(SMALL_ROWS + 1)
+    size = [F.coalesce(F.length(F.col("`" + c.replace("`", "``") + "`").cast("string")), F.lit(0)) for c in df.columns]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(size, F.lit(0))).alias("chars")).first()
+    return found["n"] <= SMALL_ROWS and (found["chars"] or 0) <= SMALL_BYTES // 4
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; else as it is, and joins shuffle both sides."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that can run at once."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

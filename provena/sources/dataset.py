@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.ids import lookup_id
+from provena.runtime import small
 
 
 @dataclass
@@ -30,8 +31,22 @@ class Dataset:
         return self.images.withColumn("_rank", lookup_id(w, F.col("image_id"))).filter("_rank is not null").orderBy("_rank").limit(1).drop("_rank")
 
     def with_category_names(self) -> DataFrame:
+        """Annotations with a name: their own, else the category table's."""
         names = self.categories.select("category_id", F.col("name").alias("_name"))
-        return self.annotations.join(F.broadcast(names), "category_id", "left").withColumn("category_name", F.coalesce("category_name", "_name")).drop("_name")
+        joined = self.annotations.join(small(names), "category_id", "left")
+        return joined.withColumn("category_name", F.coalesce("category_name", "_name")).drop("_name")
+
+    def category_names(self) -> DataFrame:
+        """``category_id, name`` of all categories in use or listed: the category table's name, else the first in order of the annotations' own."""
+        listed = self.categories.filter(F.trim("name") != "").select("category_id", F.trim("name").alias("listed"))
+        own = self.annotations.filter("category_id is not null").groupBy("category_id").agg(F.min(F.when(F.trim("category_name") != "", F.col("category_name"))).alias("own"))
+        return own.join(listed, "category_id", "full").select("category_id", F.coalesce("listed", "own").alias("name"))
+
+    def first_names(self) -> DataFrame:
+        """``image_id, category_id, name``: by image the first annotation of a category tells its name, or the next that has one."""
+        named = self.with_category_names().filter("category_id is not null")
+        first = F.min(F.when(F.col("category_name").isNotNull(), F.struct("ann_ordinal", "category_name")))
+        return named.groupBy("image_id", "category_id").agg(first.alias("f")).select("image_id", "category_id", F.col("f.category_name").alias("name"))
 
     def create_views(self, prefix: str = "") -> None:
         for table in ("images", "annotations", "categories"):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DIMS = "struct<width: int, height: int>"
 HASH_SIDE, LOW_SIDE = 32, 8
+#: shortest side after resizing, side of the centre crop
+SHORT, CROP = 256, 224
 #: channel means and deviations of the usual normalisation (fixed values)
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
@@ -62,9 +64,89 @@ def dimensions(content: Column) -> Column:
     return F.when(d["width"].isNotNull(), d)
 
 
+def orientation(data: bytes) -> int:
+    """EXIF orientation (1 to 8) of a JPEG; 1 where it tells none."""
+    at = 2
+    if data[:2] != b"\xff\xd8":
+        return 1
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\x00\x00":
+            return _tiff_orientation(data[at + 10 : at + 2 + size])
+        if marker == 0xDA or size < 2:
+            return 1
+        at += 2 + size
+    return 1
+
+
+def _tiff_orientation(tiff: bytes) -> int:
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    try:
+        if order is None or struct.unpack_from(order + "H", tiff, 2)[0] != 42:
+            return 1
+        at = struct.unpack_from(order + "I", tiff, 4)[0]
+        for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
+            tag, kind, _, value = struct.unpack_from(order + "HHIH", tiff, at + 2 + 12 * k)
+            if tag == 0x0112 and kind == 3:
+                return value if 1 <= value <= 8 else 1
+    except struct.error:
+        return 1
+    return 1
+
+
+def upright(pixels: np.ndarray, way: int) -> np.ndarray:
+    """Pixels turned and mirrored as an EXIF orientation asks."""
+    if way in (5, 6, 7, 8):
+        pixels = pixels.swapaxes(0, 1)
+    if way in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    if way in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    return pixels
+
+
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """``file_path, height, width, channels, data`` decoded by Spark's image source; undecodable files have height -1."""
-    return spark.read.format("image").load(path).select(F.col("image.origin").alias("file_path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    """``file_path, height, width, channels, data`` as decoded by Spark's image source; undecodable files have height -1."""
+    rows = spark.read.format("image").load(path)
+    cols = [F.col("image.origin").alias("file_path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data"]
+    return rows.select(*cols)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_pixels``, but upright by EXIF and as BGR, with ``known_format``: whether the header is that of an image.
+
+    Decoded pixels and headers are read in one pass each and meet by path.
+    """
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                h, w, data = r.height, r.width, r.data
+                if h > 0 and r.way > 1:
+                    p = upright(np.frombuffer(data, np.uint8).reshape(h, w, r.channels), r.way)
+                    h, w, data = p.shape[0], p.shape[1], np.ascontiguousarray(p).tobytes()
+                out.append((r.file_path, h, w, r.channels, data, r.known_format))
+            yield pd.DataFrame(out, columns=["file_path", "height", "width", "channels", "data", "known_format"])
+
+    headers = spark.read.format("binaryFile").load(path).select(plain("path"), _header(F.col("content")).alias("head"))
+    headers = headers.select("file_path", F.col("head.way").alias("way"), F.col("head.known").alias("known_format"))
+    pixels = read_pixels(spark, path).withColumn("file_path", plain("file_path"))
+    both = pixels.join(headers, "file_path")
+    schema = "file_path string, height int, width int, channels int, data binary, known_format boolean"
+    return both.select("file_path", "height", "width", "channels", "data", "way", "known_format").mapInPandas(turned, schema)
+
+
+def plain(column: str) -> Column:
+    """A local path without its scheme, as ``file_path``."""
+    return F.regexp_replace(column, "^file:/+", "/").alias("file_path")
+
+
+def _header(content: Column) -> Column:
+    def read(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"way": [orientation(bytes(c)) for c in data], "known": [header_size(bytes(c)) is not None for c in data]})
+
+    return F.pandas_udf(read, "struct<way: int, known: boolean>")(content)
 
 
 def rgb(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -104,6 +186,15 @@ def perceptual_hash(pixels: np.ndarray) -> int:
     return int("".join("1" if b else "0" for b in bits), 2)
 
 
+def hash_dataset(images: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``image_id, file_path, hash, failure_code`` of every image: missing_path, missing_image, image_decode_error, hash_calculation_error."""
+    done = hash_images(pixels).withColumnRenamed("file_path", "at")
+    code = F.when(F.col("file_path").isNull(), "missing_path").when(F.col("at").isNull(), "missing_image").otherwise(F.col("failure_code"))
+    named = images.select("image_id", "file_path", F.regexp_replace("file_path", "^file:/+", "/").alias("path"))
+    joined = named.join(done.withColumn("at", F.regexp_replace("at", "^file:/+", "/")), F.col("path") == F.col("at"), "left")
+    return joined.select("image_id", "file_path", "hash", code.alias("failure_code"))
+
+
 def hash_images(pixels: DataFrame) -> DataFrame:
     """``file_path, hash, failure_code`` of decoded images."""
 
@@ -114,8 +205,11 @@ def hash_images(pixels: DataFrame) -> DataFrame:
                 if r.height <= 0:
                     out.append((r.file_path, None, "image_decode_error"))
                 else:
-                    h = perceptual_hash(rgb(r.height, r.width, r.channels, r.data))
-                    out.append((r.file_path, h - (1 << 64) if h >> 63 else h, None))
+                    try:
+                        h = perceptual_hash(rgb(r.height, r.width, r.channels, r.data))
+                        out.append((r.file_path, h - (1 << 64) if h >> 63 else h, None))
+                    except ValueError:
+                        out.append((r.file_path, None, "hash_calculation_error"))
             yield pd.DataFrame({"file_path": [x[0] for x in out], "hash": pd.array([x[1] for x in out], "Int64"), "failure_code": [x[2] for x in out]})
 
     return pixels.mapInPandas(work, "file_path string, hash bigint, failure_code string")
@@ -129,7 +223,7 @@ def mean_color_vector(pixels: np.ndarray, dim: int) -> np.ndarray:
     return (v / n if n > 0 else v).astype(np.float32)
 
 
-def center_crop_tensor(pixels: np.ndarray, short: int = 256, crop: int = 224) -> np.ndarray:
+def center_crop_tensor(pixels: np.ndarray, short: int = SHORT, crop: int = CROP) -> np.ndarray:
     """Shortest side to ``short`` (bicubic), centre crop, scaled and normalised, channels first."""
     h, w = pixels.shape[:2]
     nh, nw = (short, int(w * short / h)) if h <= w else (int(h * short / w), short)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.errors import BoxOutOfBounds, InvalidAnnotation, InvalidBox, MalformedSource, SourceNotFound
 from provena.functions.boxes import finite, from_yolo, yolo_out_of_bounds
 from provena.functions.ids import int_id, str_id
+from provena.operators.numbering import number_in_order
+from provena.runtime import materialize, small
 from provena.sources.dataset import Dataset
 from provena.sources.images import dimensions
 
@@ -82,7 +84,10 @@ def resolve_classes(data_dir: str, labels_dir: str, classes) -> dict[int, str]:
         return {i: line.strip() for i, line in enumerate(f) if line.strip()}
 
 
-def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None, labels_dir: str | None = None, classes=None, default_dims: tuple[int, int] | None = None, name: str | None = None, strict_bounds: bool = False, strict_orphans: bool | None = None) -> Dataset:
+def read_yolo(
+    spark: SparkSession, data_dir: str, images_dir: str | None = None, labels_dir: str | None = None, classes=None,
+    default_dims: tuple[int, int] | None = None, name: str | None = None, strict_bounds: bool = False, strict_orphans: bool | None = None,
+) -> Dataset:
     if not os.path.isdir(data_dir):
         raise SourceNotFound(f"no folder {data_dir}")
     if default_dims is not None and (len(default_dims) != 2 or any(isinstance(d, bool) or d <= 0 for d in default_dims)):
@@ -102,7 +107,7 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
     if default_dims is not None:
         fallback = F.struct(F.lit(int(default_dims[0])).alias("width"), F.lit(int(default_dims[1])).alias("height"))
         found = found.withColumn("dims", F.coalesce("dims", fallback))
-    found = found.withColumn("ordinal", F.row_number().over(Window.orderBy("file_name")) - 1).cache()
+    found = materialize(number_in_order(found, F.col("file_name"), "ordinal", 0), "yolo-images")
     if not found.limit(1).count():
         raise SourceNotFound(f"no images in {images_dir}")
     if found.filter("dims is null").limit(1).count():
@@ -123,13 +128,14 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
     warnings = [f"label file without an image: {x}.txt" for x in lost]
     joined = found.join(labels, "stem", "left").join(beside.withColumnRenamed("value", "beside"), "stem", "left")
     lines = joined.select("stem", "ordinal", "dims", F.posexplode(F.split(F.coalesce("value", "beside", F.lit("")), "\r?\n")).alias("line_no", "line"))
-    parsed = parse_lines(lines).cache()
+    parsed = materialize(parse_lines(lines), "yolo-lines")
     wrong = parsed.filter("error is not null").orderBy("ordinal", "line_no").limit(1).collect()
     if wrong:
         where = f"{wrong[0]['stem']}.txt line {wrong[0]['line_no'] + 1}: {wrong[0]['error']}"
         raise (InvalidBox if wrong[0]["error"] in ("side_not_positive", "not_finite") else InvalidAnnotation)(where)
+    known = spark.createDataFrame(sorted(names.items()), "class_id bigint, class_name string")
     if names:
-        unknown = parsed.filter(~F.col("class_id").isin(*names)).orderBy("ordinal", "line_no").limit(1).collect()
+        unknown = parsed.join(small(known), "class_id", "left_anti").orderBy("ordinal", "line_no").limit(1).collect()
         if unknown:
             raise InvalidAnnotation(f"unknown class {unknown[0]['class_id']} in {unknown[0]['stem']}.txt")
     cx, cy, nw, nh = (F.col(c) for c in ("cx", "cy", "nw", "nh"))
@@ -137,17 +143,14 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
     if strict_bounds and parsed.filter(spill).limit(1).count():
         raise BoxOutOfBounds("a box reaches beyond its image")
     box = from_yolo(cx, cy, nw, nh, F.col("dims.width"), F.col("dims.height"))
-    label = F.lit(None).cast("string")
-    for k, v in names.items():
-        label = F.when(F.col("class_id") == k, v).otherwise(label)
+    parsed = parsed.join(small(known), "class_id", "left")
     note = F.when(spill, F.array(F.lit("box reaches beyond the image"))).otherwise(F.array().cast("array<string>"))
-    order = F.row_number().over(Window.orderBy("ordinal", "line_no"))
-    annotations = parsed.select(
+    annotations = number_in_order(parsed, [F.col("ordinal"), F.col("line_no")], "number").select(
         str_id(F.col("stem")).alias("image_id"),
         F.col("line_no").cast("bigint").alias("ann_ordinal"),
-        int_id(order).alias("annotation_id"),
+        int_id(F.col("number")).alias("annotation_id"),
         F.col("class_id").alias("category_id"),
-        label.alias("category_name"),
+        F.col("class_name").alias("category_name"),
         *[c.alias(n) for n, c in box.items()],
         F.struct("cx", "cy", F.col("nw").alias("w"), F.col("nh").alias("h")).alias("norm"),
         (box["width"] * box["height"]).alias("area"),
@@ -155,7 +158,8 @@ def read_yolo(spark: SparkSession, data_dir: str, images_dir: str | None = None,
         note.alias("warnings"),
     )
     collected = annotations.groupBy("image_id").agg(F.flatten(F.collect_list("warnings")).alias("warnings"))
-    images = found.select(str_id(F.col("stem")).alias("image_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "file_name", F.col("dims.width").alias("width"), F.col("dims.height").alias("height"), F.col("path").alias("file_path"))
+    sides = [F.col("dims.width").alias("width"), F.col("dims.height").alias("height")]
+    images = found.select(str_id(F.col("stem")).alias("image_id"), "ordinal", "file_name", *sides, F.col("path").alias("file_path"))
     images = images.join(collected, "image_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
     if not names and parsed.limit(1).count():
         warnings.append("annotations without class names")
