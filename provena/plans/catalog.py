@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from provena.operators import evidence as ev
 from provena.operators import findings as fi
 from provena.operators import near_duplicates as nd
 from provena.operators import neighbours as nb
+from provena.operators.numbering import number_in_order
 from provena.plans.oracles import HASH, PAIR, SHIFT
+from provena.plans.runner import IntegrityRun, Settings, run_integrity
+from provena.sources import coco, yolo
 from provena.sources import features as ft
-from provena.sources import yolo
+from provena.sources.dataset import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +116,12 @@ def nd_pairs(spark, d):
     return nd.cosine_pairs(features(spark, d), PAIR).select(num("image_a", "id_a"), num("image_b", "id_b"), r6("similarity"))
 
 
+@query
+def nd_pair_order(spark, d):
+    pairs = nd.ordered_pairs(nd.cosine_pairs(features(spark, d), PAIR))
+    return number_in_order(pairs, [F.col("image_a"), F.col("image_b")], "position").select("position", num("image_a", "id_a"), num("image_b", "id_b"))
+
+
 @query
 def nd_clusters(spark, d):
     return nd.detect_near_duplicates(features(spark, d), PAIR).clusters.select("cluster_id", num("image_id"))
@@ -139,11 +149,6 @@ def hash_pairs(spark, d):
     return nd.hash_pairs(hashes(spark, d), HASH).select(num("image_a", "id_a"), num("image_b", "id_b"), "distance")
 
 
-@query
-def hash_pairs_theta(spark, d):
-    return nd.hash_pairs_sql(hashes(spark, d), HASH).select(num("image_a", "id_a"), num("image_b", "id_b"), "distance")
-
-
 @query
 def hash_clusters(spark, d):
     return nd.detect_hash_duplicates(hashes(spark, d), HASH).clusters.select("cluster_id", num("image_id"))
@@ -171,6 +176,11 @@ def label_distribution(spark, d):
     return _labels(spark, d).distribution.select(num("image_id"), "category_id", "count", "position")
 
 
+@query
+def label_same_similarity(spark, d):
+    return _labels(spark, d).findings.select(num("image_id"), r6("same_similarity"))
+
+
 @query
 def label_competitor(spark, d):
     return _labels(spark, d).findings.filter("competing_label is not null").select(num("image_id"), "competing_label", "rival_count", r6("rival_similarity"))
@@ -245,6 +255,12 @@ def silhouette_class_summary(spark, d):
     return nb.analyze_silhouette(labels(spark, d), features(spark, d)).classes.select(F.element_at("labels", 1).alias("label"), "image_count", r6("mean_silhouette"))
 
 
+@query
+def silhouette_class_order(spark, d):
+    classes = nb.analyze_silhouette(labels(spark, d), features(spark, d)).classes
+    return number_in_order(nb.by_class(classes), F.col("labels"), "position").select("position", F.element_at("labels", 1).alias("label"))
+
+
 @query
 def silhouette_dataset_stats(spark, d):
     s = nb.analyze_silhouette(labels(spark, d), features(spark, d)).summary
@@ -305,6 +321,41 @@ def risk_groups_combined(spark, d):
     return risk(spark, d).groups.filter("group_type = 'combined'").select("group_id", "image_count", "finding_count", "affected_images", r6("score"), "recommendation")
 
 
+@query
+def risk_reasons(spark, d):
+    """Groups numbered in report order, with their texts."""
+    groups = risk(spark, d).groups
+    return number_in_order(ev.ordered_groups(groups), [F.col("type_order"), F.col("order_key")], "position").select("position", "group_type", "group_id", "reason")
+
+
+@query
+def evidence_texts(spark, d):
+    return ev.ordered_evidence(all_evidence(spark, d)).select("category", "evidence_id", "summary")
+
+
+def _described(spark, d) -> DataFrame:
+    """Images with metadata: some of their own, by both aliases."""
+    v = F.col("vec_id")
+    meta = F.when(v % 3 == 0, F.create_map(F.lit("contributor"), F.concat(F.lit("c"), v % 4), F.lit("batch_id"), F.lit(" "))).when(v % 3 == 1, F.create_map(F.lit("contributor_id"), F.concat(F.lit("d"), v % 4)))
+    return table(spark, d, "embeddings").select(int_id(v).alias("image_id"), meta.alias("metadata"))
+
+
+DATASET_METADATA = {"contributor_id": "team", "source": "lab", "batch": 7}
+
+
+@query
+def source_metadata(spark, d):
+    return ev.source_metadata(_described(spark, d), DATASET_METADATA).select(num("image_id"), "contributor", "source", "batch")
+
+
+@query
+def metadata_conflicts(spark, d):
+    """Dataset and image metadata both are candidates, so another contributor on an image is a conflict."""
+    found, conflicts = ev.resolve(ev.candidates(*ev.metadata_records(_described(spark, d), DATASET_METADATA)))
+    clear = found.filter("contributor_id is not null").select(num("image_id"), F.col("contributor_id.value").alias("contributor"), F.lit(1).alias("values"))
+    return clear.unionAll(conflicts.filter("field = 'contributor_id'").select(num("image_id"), F.lit(None).cast("string"), F.size("values")))
+
+
 @query
 def risk_unattributed(spark, d):
     return risk(spark, d).unattributed.select("image_count", "affected_images", "finding_count", "near_duplicate_count")
@@ -318,22 +369,21 @@ def risk_summary(spark, d):
 # --- findings and governance ----------------------------------------------------------------------------------------
 
 
-def _findings(spark, d) -> DataFrame:
-    return fi.unify(
-        fi.from_pairs(nd.cosine_pairs(features(spark, d), PAIR)),
-        fi.from_labels(_labels(spark, d).findings),
-        fi.from_shift(nb.detect_shift(*parity(spark, d), SHIFT).findings),
-        fi.from_groups(risk(spark, d).groups),
-        fi.from_hash_pairs(nd.hash_pairs(hashes(spark, d), HASH)),
-        fi.from_silhouettes(nb.analyze_silhouette(labels(spark, d), features(spark, d)).findings),
-    )
-
-
 def _assets(spark, d) -> DataFrame:
     path = F.concat(F.lit("images/"), F.col("vec_id").cast("string"), F.lit(".png"))
     return table(spark, d, "embeddings").select(int_id(F.col("vec_id")).alias("image_id"), path.alias("file_path"))
 
 
+def _run(spark, d) -> IntegrityRun:
+    settings = Settings(cosine_threshold=PAIR, shift_threshold=SHIFT, hash_threshold=HASH)
+    reference, asked = parity(spark, d)
+    return run_integrity(_assets(spark, d), features(spark, d), labels(spark, d), provenance(spark, d), reference, asked, hashes(spark, d), settings)
+
+
+def _findings(spark, d) -> DataFrame:
+    return _run(spark, d).findings
+
+
 @query
 def findings_unified(spark, d):
     return _findings(spark, d).select("finding_id", "layer", num("image_id"), "severity", r6("score"), "recommendation")
@@ -349,6 +399,45 @@ def asset_findings(spark, d):
     return fi.with_assets(_findings(spark, d), _assets(spark, d)).select("finding_id", "file_path")
 
 
+@query
+def finding_report(spark, d):
+    """Findings of labels and shift numbered in report order, with their list labels."""
+    both = fi.unify(fi.from_labels(_labels(spark, d).findings), fi.from_shift(nb.detect_shift(*parity(spark, d), SHIFT).findings))
+    numbered = number_in_order(fi.ordered(both), [F.col("layer"), F.col("finding_id")], "position")
+    return numbered.select("position", F.format_string("[%s] %s · %s", "layer", "title", "finding_id").alias("label"))
+
+
+@query
+def first_findings(spark, d):
+    return fi.first_findings(fi.from_labels(_labels(spark, d).findings)).select("finding_id", "label")
+
+
+@query
+def finding_contract(spark, d):
+    """Findings that break the contract: every third one here lost its title, every fifth has a confidence of 1.5."""
+    third, fifth = number_of(F.col("image_id")) % 3 == 0, number_of(F.col("image_id")) % 5 == 0
+    broken = fi.from_labels(_labels(spark, d).findings)
+    broken = broken.withColumn("title", F.when(third, " ").otherwise(F.col("title"))).withColumn("confidence", F.when(fifth, 1.5).otherwise(0.5))
+    return fi.invalid_findings(broken).select("finding_id")
+
+
+@query
+def decisions_made(spark, d):
+    reviewed = fi.from_labels(_labels(spark, d).findings).filter("recommendation = 'REVIEW'")
+    made = fi.decisions_from_findings(reviewed, "QUARANTINE", " analyst ", "seen", "pipeline", "d1", "2024-01-01T00:00:00Z", "run-1")
+    refs = F.array_join("evidence_references", ",").alias("refs")
+    return made.select("decision_id", "finding_id", num("affected_image_id"), "source_recommendation", "analyst_decision", "actor", refs, "module")
+
+
+@query
+def decision_log(spark, d):
+    """The lines an audit log gets for decisions on the label findings to review."""
+    reviewed = fi.from_labels(_labels(spark, d).findings).filter("recommendation = 'REVIEW'")
+    made = fi.decisions_from_findings(reviewed, "REVIEW", "analyst", "seen", "pipeline", "d1", "2024-01-01T00:00:00Z", "run-1")
+    events = fi.decision_events(number_in_order(made.drop("affected_image_id"), F.col("finding_id"), "position", 0))
+    return fi.event_line(events)
+
+
 def _decisions(spark, d) -> DataFrame:
     kind = F.col("event_type")
     decision = F.when(kind == "click", "ACCEPT").when(kind == "view", "REVIEW").when(kind == "purchase", "QUARANTINE")
@@ -374,6 +463,11 @@ def audit_validation(spark, d):
     return fi.invalid_events(events).groupBy("kind").agg(F.count(F.lit(1)).alias("invalid"))
 
 
+@query
+def latest_events(spark, d):
+    return fi.latest_first(fi.decision_events(_decisions(spark, d).filter("analyst_decision is not null")))
+
+
 @query
 def audit_export_summary(spark, d):
     return fi.export_summary(fi.decision_events(_decisions(spark, d).filter("analyst_decision is not null")))
@@ -382,9 +476,27 @@ def audit_export_summary(spark, d):
 # --- annotations and boxes ------------------------------------------------------------------------------------------
 
 
+def _coco_items(spark, d) -> DataFrame:
+    """Annotation objects as a COCO file has them, parsed to variants."""
+    box = F.array(*[F.col(c) for c in "xywh"])
+    item = F.struct(F.col("pos").alias("id"), F.col("img").alias("image_id"), "category_id", box.alias("bbox"), F.lit(0).alias("iscrowd"))
+    rows = number_in_order(box_rows(spark, d), [F.col("img"), F.col("category_id"), F.col("x"), F.col("y"), F.col("w"), F.col("h")], "pos", 0)
+    return rows.select("pos", F.parse_json(F.to_json(item)).alias("x"))
+
+
+def _coco(spark, d) -> DataFrame:
+    parsed = coco.parse_annotations(_coco_items(spark, d)).filter("error is null")
+    return parsed.withColumn("img", number_of(F.col("image_id")))
+
+
+def _order_images(spark, d, keep: Column | None = None) -> DataFrame:
+    rows = table(spark, d, "orders")
+    return (rows if keep is None else rows.filter(keep)).select(int_id(F.col("o_orderkey")).alias("image_id"))
+
+
 @query
 def coco_annotations(spark, d):
-    return box_rows(spark, d).filter(bx.valid_box(*_b())).select("img", "category_id", F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("w").alias("width"), F.col("h").alias("height"), (F.col("w") * F.col("h")).alias("area"))
+    return _coco(spark, d).select("img", "category_id", "xmin", "ymin", "width", "height", "area")
 
 
 @query
@@ -395,8 +507,10 @@ def coco_bounds_warnings(spark, d):
 
 @query
 def coco_fk_violations(spark, d):
-    images = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("img"))
-    return box_rows(spark, d).join(images, "img", "left_anti").select("img", "category_id", "x")
+    categories = spark.createDataFrame([(k,) for k in range(1, 7)], "category_id bigint")
+    lost_image, lost_category = coco.unknown_references(_coco(spark, d), _order_images(spark, d, F.col("o_orderkey") % 2 == 0), categories)
+    cols = ["img", "category_id", F.col("xmin").alias("x")]
+    return lost_image.select(F.lit("image").alias("lost"), *cols).unionAll(lost_category.select(F.lit("category").alias("lost"), *cols))
 
 
 def _normal(spark, d) -> DataFrame:
@@ -450,20 +564,30 @@ def yolo_orphans(spark, d):
 
 @query
 def images_without_annotations(spark, d):
-    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("img"))
-    return images.join(box_rows(spark, d), "img", "left_anti")
+    excluded = nb.label_exclusions(_order_images(spark, d), nb.label_sets(_coco(spark, d)))
+    return excluded.filter("reason = 'missing_annotation'").select(num("image_id", "img"))
+
+
+def _dataset(spark, d) -> Dataset:
+    names = spark.createDataFrame([(k, f" class-{k} " if k % 2 else " ") for k in range(1, 5)], "category_id bigint, name string")
+    own = F.when(F.col("category_id") > 2, F.concat(F.lit("own-"), (F.col("img") % 3).cast("string")))
+    return Dataset("orders", "coco", "", _order_images(spark, d), _coco(spark, d).withColumn("category_name", own), names)
 
 
 @query
 def dataset_counts(spark, d):
-    images = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("image_count"))
-    return images.join(box_rows(spark, d).agg(F.count(F.lit(1)).alias("annotation_count")))
+    return _dataset(spark, d).counts()
 
 
 @query
 def category_lookup(spark, d):
-    names = spark.createDataFrame([(k, f"class-{k}") for k in range(1, 5)], "category_id bigint, category_name string")
-    return box_rows(spark, d).join(F.broadcast(names), "category_id", "left").groupBy("category_id", "category_name").agg(F.count(F.lit(1)).alias("boxes"))
+    named = _dataset(spark, d).with_category_names()
+    return named.groupBy("category_id", "category_name").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+@query
+def category_names(spark, d):
+    return _dataset(spark, d).category_names()
 
 
 @query
@@ -494,6 +618,51 @@ def feature_validation(spark, d):
     return ft.feature_violations(features(spark, d), 64)
 
 
+@query
+def cache_keys(spark, d):
+    """Keys of batches with one input; every second one is a fallback's."""
+    made = []
+    for k in range(6):
+        info = ft.BatchInfo("set", "b", f"m{k}", "w", 64, {"p": 1}, {"n": 2}, input_fingerprint="sha256:x")
+        info = replace(info, requested_extractor="a", actual_extractor="b", fallback_used=True, fallback_reason="r") if k % 2 else info
+        made.append((k, info.space_id, info.cache_key))
+    return spark.createDataFrame(made, "k int, space_id string, cache_key string")
+
+
+def _page_images(spark, d) -> DataFrame:
+    """Pages as images: a third has no path, a third no readable file."""
+    path = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("/img/"), F.col("page_id").cast("string")))
+    sides = [F.lit(640).alias("width"), F.lit(480).alias("height")]
+    return table(spark, d, "pages").select(int_id(F.col("page_id")).alias("image_id"), F.col("page_id").alias("ordinal"), F.lit("f").alias("file_name"), path.alias("file_path"), *sides)
+
+
+@query
+def dataset_fingerprint(spark, d):
+    files = table(spark, d, "pages").filter("page_id % 3 = 1").select(F.concat(F.lit("/img/"), F.col("page_id").cast("string")).alias("file_path"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("content_hash"))
+    images = _page_images(spark, d)
+    found = ft.dataset_fingerprint(Dataset("pages", "coco", "", images, images, images), files)
+    return spark.createDataFrame([(found,)], "fingerprint string")
+
+
+@query
+def failures_in_order(spark, d):
+    images = _page_images(spark, d)
+    failures = images.filter("file_path is null").select("image_id", "file_path", F.lit("image_path_missing").alias("failure_code"), F.lit("x").alias("reason"))
+    first = ft.ordered_failures(failures, images).limit(20)
+    return first.select(num("image_id", "page_id"), "failure_code")
+
+
+@query
+def image_hash_failures(spark, d):
+    """Perceptual hashes of small images by image: no path, no file, no decodable content, or a hash."""
+    images = table(spark, d, "embeddings").select(int_id(F.col("vec_id")).alias("image_id"), F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("/i/"), F.col("vec_id").cast("string"))).alias("file_path"), "vec_id")
+    tones = F.hex(F.lpad(F.lit("a"), 48, "bcd"))
+    size = F.when(F.col("vec_id") % 4 == 2, -1).otherwise(4)
+    pixels = images.filter("vec_id % 4 > 1").select("file_path", size.alias("height"), size.alias("width"), F.lit(3).alias("channels"), F.unhex(tones).alias("data"))
+    found = nd.detect_image_duplicates(images.select("image_id", "file_path").filter("image_id.id < '2'"), pixels, 0)
+    return found.failures.select(num("image_id"), "failure_code").unionAll(found.hashes.select(num("image_id"), F.lit("hashed").alias("failure_code")))
+
+
 @query
 def dummy_embeddings(spark, d):
     """Mean-colour embeddings of small one-colour images, one a label of the embeddings table."""

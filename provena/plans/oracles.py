@@ -35,18 +35,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         LEFT JOIN (SELECT group_type, group_id, count(*) FILTER (category = 'near_duplicate') AS nd, count(*) FILTER (category = 'label_disagreement') AS ld, count(*) FILTER (category = 'distribution_shift') AS ds, count(*) AS f FROM hit GROUP BY ALL) h USING (group_type, group_id)
         LEFT JOIN (SELECT group_type, group_id, count(DISTINCT img) AS af FROM ends JOIN mem ON img = vec_id GROUP BY ALL) a USING (group_type, group_id)"""),
     "out_": (("pv",), "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM pv)"),
-    "fu": (("p", "ls", "sh", "gr", "hp", "sf"), """SELECT '1C:["int",' || a || ']["int",' || b || ']' AS finding_id, '1C' AS layer, a AS vec_id, 'warning' AS severity, s AS score, 'REVIEW' AS recommendation FROM p
+    "fu": (("p", "ls", "sh", "gr", "hp", "sf"), """SELECT '1C:["int",' || a || ']:["int",' || b || ']' AS finding_id, '1C' AS layer, a AS vec_id, 'warning' AS severity, s AS score, 'REVIEW' AS recommendation FROM p
         UNION ALL SELECT '1D:["int",' || q || ']', '1D', q, CASE WHEN state = 'review' THEN 'warning' ELSE 'info' END, score, recommendation FROM ls
         UNION ALL SELECT '1E:["int",' || q || ']', '1E', q, CASE WHEN state = 'in_distribution' THEN 'info' ELSE 'warning' END, score, CASE WHEN state = 'in_distribution' THEN 'NO_AUTOMATIC_ACTION' ELSE 'REVIEW' END FROM sh
-        UNION ALL SELECT '1F:' || group_type || ':' || group_id, '1F', NULL, CASE WHEN recommendation = 'REVIEW' THEN 'warning' ELSE 'info' END, score, recommendation FROM gr
-        UNION ALL SELECT '1G:["int",' || a || ']["int",' || b || ']', '1G', a, 'warning', d::DOUBLE, 'REVIEW' FROM hp
-        UNION ALL SELECT '1H:["int",' || q || ']', '1H', q, CASE WHEN s > 0 THEN 'info' ELSE 'warning' END, s, 'NO_AUTOMATIC_ACTION' FROM sf"""),
+        UNION ALL SELECT '1F:' || group_type || ':' || group_id, '1F', NULL, CASE WHEN finding_count > 0 THEN 'warning' ELSE 'info' END, score, recommendation FROM gr
+        UNION ALL SELECT '1G:["int",' || a || ']:["int",' || b || ']', '1G', a, 'warning', d::DOUBLE, 'REVIEW' FROM hp
+        UNION ALL SELECT '1H:["int",' || q || ']', '1H', q, CASE WHEN s > 0 THEN 'info' ELSE 'warning' END, s, CASE WHEN s > 0 THEN 'NO AUTOMATIC ACTION' ELSE 'REVIEW' END FROM sf"""),
     "box": ((), "SELECT DISTINCT l_orderkey AS img, l_linenumber AS category_id, (l_quantity * 12)::DOUBLE AS x, (l_discount * 3000)::DOUBLE AS y, (l_tax * 1000 + 5)::DOUBLE AS w, (l_quantity * 3 + 10)::DOUBLE AS h FROM lineitem"),
     "yl": (("box",), "SELECT img, category_id, (x + w / 2) / 640 AS cx, (y + h / 2) / 480 AS cy, w / 640 AS nw, h / 480 AS nh FROM box"),
     "au": ((), "SELECT event_id AS position, user_id AS finding_id, event_type AS kind, CASE event_type WHEN 'click' THEN 'ACCEPT' WHEN 'view' THEN 'REVIEW' WHEN 'purchase' THEN 'QUARANTINE' END AS decision FROM events"),
 }
 
 
+#: expressions that refer to themselves; all others are worked out once
+RECURSIVE = {"r", "hr"}
+
+
 def _with(names: tuple[str, ...]) -> str:
     order: list[str] = []
 
@@ -58,7 +62,7 @@ def _with(names: tuple[str, ...]) -> str:
 
     for n in names:
         add(n)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({CTES[n][1]})" for n in order)
 
 
 def q(select: str, *names: str) -> str:
@@ -69,11 +73,13 @@ ORACLE_SQL: dict[str, str] = {
     "vector_norms": q("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first_unit FROM e", "e"),
     "nd_pairs": q("SELECT a AS id_a, b AS id_b, round(s, 6) AS similarity FROM p", "p"),
     "nd_clusters": q("SELECT cluster_id, n AS vec_id FROM c", "c"),
+    "nd_pair_order": q("SELECT row_number() OVER (ORDER BY a::VARCHAR, b::VARCHAR) AS position, a AS id_a, b AS id_b FROM p", "p"),
     "nd_summary": q("SELECT (SELECT count(*) FROM e) AS image_count, (SELECT count(*) FROM p) AS pair_count, count(DISTINCT cluster_id) AS cluster_count, count(*) AS clustered_images FROM c", "c", "p", "e"),
     "nd_cluster_sizes": q("SELECT cluster_id, count(DISTINCT n) AS members, (SELECT count(*) FROM p JOIN c d ON p.a = d.n WHERE d.cluster_id = c.cluster_id) AS pairs FROM c GROUP BY cluster_id", "c", "p"),
     "label_topk": q("SELECT q AS vec_id, n AS neighbour_id, rk::INTEGER AS rank, round(s, 6) AS similarity, la = lb AS same FROM nn", "nn"),
     "label_findings": q("SELECT q AS vec_id, same_count, different_count, round(score, 6) AS score, state, recommendation FROM ls", "ls"),
     "label_distribution": q("SELECT q AS vec_id, lb::BIGINT AS category_id, count(*) AS count, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, lb::VARCHAR)::INTEGER AS position FROM nn GROUP BY q, lb", "nn"),
+    "label_same_similarity": q("SELECT q AS vec_id, round(same_similarity, 6) AS same_similarity FROM lf", "lf"),
     "label_competitor": q("SELECT vec_id, competing_label, rival_count, round(rs, 6) AS rival_similarity FROM (SELECT q AS vec_id, lb::BIGINT AS competing_label, count(*) AS rival_count, avg(s) AS rs, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, avg(s) DESC, lb::VARCHAR) AS k FROM nn WHERE la <> lb GROUP BY q, lb) WHERE k = 1", "nn"),
     "label_summary": q("SELECT count(*) AS scored_images, count(*) FILTER (state = 'review') AS suspicious_count, count(*) FILTER (state = 'insufficient_class_support') AS unsupported_count FROM ls", "ls"),
     "label_multilabel": q("SELECT q AS vec_id, array_to_string(la, ',') AS labels, sum(list_has_any(la, lb)::INT)::BIGINT AS same_count, sum((NOT list_has_any(la, lb))::INT)::BIGINT AS different_count FROM mn GROUP BY q, la", "mn"),
@@ -86,12 +92,12 @@ ORACLE_SQL: dict[str, str] = {
     "ood_summary": q("SELECT count(*) AS scored_count, count(*) FILTER (state = 'distribution_shift_candidate') AS anomalous_count, 0::BIGINT AS unscored_count, count(*) AS total_count FROM sh", "sh"),
     "silhouette_findings": q("SELECT q AS vec_id, la::BIGINT AS label, round(a, 6) AS intra_distance, round(b, 6) AS nearest_distance, nearest::BIGINT AS nearest_label, round(s, 6) AS silhouette, s > 0 AS well_separated FROM sf", "sf"),
     "silhouette_class_summary": q("SELECT la::BIGINT AS label, count(*) AS image_count, round(avg(s), 6) AS mean_silhouette FROM sf GROUP BY la", "sf"),
+    "silhouette_class_order": q("SELECT row_number() OVER (ORDER BY la) AS position, la::BIGINT AS label FROM (SELECT DISTINCT la FROM sf)", "sf"),
     "silhouette_dataset_stats": q("SELECT count(*) AS scored_images, round(avg(s), 6) AS mean_silhouette, round(median(s), 6) AS median_silhouette, round(min(s), 6) AS min_silhouette, round(max(s), 6) AS max_silhouette FROM sf", "sf"),
     "silhouette_unscorable": "SELECT vec_id, 'class_too_small' AS reason FROM embeddings JOIN (SELECT label, count(*) AS k FROM embeddings GROUP BY label) USING (label) WHERE k < 50",
     "silhouette_multilabel": q("SELECT q AS vec_id, array_to_string(la, ',') AS labels, round((b - a) / greatest(a, b), 6) AS silhouette FROM (SELECT q, la, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la <> lb THEN d END) AS b FROM mm JOIN mc ON mc.ls = la WHERE k >= 2 GROUP BY q, la)", "mm", "mc"),
     "hash64": q("SELECT vec_id, printf('%016x', h) AS hash FROM hb", "hb"),
     "hash_pairs": q("SELECT a AS id_a, b AS id_b, d AS distance FROM hp", "hp"),
-    "hash_pairs_theta": q("SELECT a AS id_a, b AS id_b, d AS distance FROM hp", "hp"),
     "hash_clusters": q("SELECT dense_rank() OVER (ORDER BY root) AS cluster_id, n AS vec_id FROM (SELECT n, min(m::VARCHAR) AS root FROM hr GROUP BY n)", "hr"),
     "provenance_resolved": q("SELECT vec_id, team AS contributor, source, batch FROM pv", "pv"),
     "provenance_conflicts": "SELECT d.doc_id AS vec_id, 'batch_id' AS field, 2::INTEGER AS value_count FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang <> CASE WHEN l.toxic = 1 THEN 'xx' ELSE d.lang END",
@@ -99,14 +105,34 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_conflicts": q("SELECT a || ',' || b AS image_ids, 2::INTEGER AS variant_count FROM p WHERE s >= 0.42", "p"),
     "risk_groups": q("SELECT group_type, group_id, image_count, near_duplicate_count, label_disagreement_count, distribution_shift_count, finding_count, affected_images, round(score, 6) AS score, recommendation FROM gr WHERE group_type <> 'combined'", "gr"),
     "risk_groups_combined": q("SELECT group_id, image_count, finding_count, affected_images, round(score, 6) AS score, recommendation FROM gr WHERE group_type = 'combined'", "gr"),
+    "risk_reasons": q("SELECT row_number() OVER (ORDER BY CASE group_type WHEN 'contributor' THEN 0 WHEN 'source' THEN 1 WHEN 'batch' THEN 2 ELSE 3 END, CASE group_type WHEN 'combined' THEN '(''' || json_extract_string(j, 'contributor_id') || ''', ''' || json_extract_string(j, 'source_id') || ''', ''' || json_extract_string(j, 'batch_id') || ''')' ELSE '''' || split_part(group_id, ':', 2) || '''' END) AS position, group_type, group_id, 'Observed ' || finding_count || ' distinct detector findings affecting ' || affected_images || ' of ' || image_count || ' images (' || CASE WHEN finding_count = 0 THEN 'No detector findings affected this group.' ELSE concat_ws('; ', CASE WHEN near_duplicate_count > 0 THEN 'Layer 1C near-duplicate: ' || near_duplicate_count END, CASE WHEN label_disagreement_count > 0 THEN 'Layer 1D label-manipulation: ' || label_disagreement_count END, CASE WHEN distribution_shift_count > 0 THEN 'Layer 1E distribution-shift: ' || distribution_shift_count END) END || '); weighted evidence score ' || printf('%.3f', score) || '. Recommendation: ' || recommendation || '.' AS reason FROM (SELECT *, CASE WHEN group_type = 'combined' THEN substr(group_id, 12)::JSON END AS j FROM gr)", "gr"),
+    "evidence_texts": q(f"""SELECT 'near_duplicate' AS category, '[["int","' || a || '"],["int","' || b || '"]]' AS evidence_id, 'Near-duplicate pair ' || a || ' ↔ ' || b || '; cosine similarity ' || printf('%.6f', s) || ' met configured threshold {PAIR:.6f}.' AS summary FROM p
+        UNION ALL SELECT 'label_disagreement', '[["int","' || ls.q || '"]]', 'Label-neighborhood review for image ' || ls.q || ': assigned [' || la || '], strongest competing label [' || coalesce(c::VARCHAR, 'unavailable') || '], score ' || printf('%.6f', score) || ' at threshold 0.800000.' FROM ls LEFT JOIN (SELECT q, lb AS c FROM (SELECT q, lb, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, avg(s) DESC, lb::VARCHAR) AS k FROM nn WHERE la <> lb GROUP BY q, lb) WHERE k = 1) r ON r.q = ls.q WHERE state = 'review'
+        UNION ALL SELECT 'distribution_shift', '[["int","' || q || '"]]', 'Distribution-shift candidate image ' || q || ': nearest-reference cosine similarity ' || printf('%.6f', s) || ', configured threshold {SHIFT:.6f}, score ' || printf('%.6f', score) || '.' FROM sh WHERE state = 'distribution_shift_candidate'""", "p", "ls", "nn", "sh"),
+    "source_metadata": "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'c' || (vec_id % 4) WHEN 1 THEN 'd' || (vec_id % 4) ELSE 'team' END AS contributor, 'lab' AS source, '7' AS batch FROM embeddings",
+    "metadata_conflicts": "SELECT vec_id, CASE WHEN vec_id % 3 <> 1 THEN 'team' END AS contributor, CASE WHEN vec_id % 3 = 1 THEN 2 ELSE 1 END::INTEGER AS values FROM embeddings",
     "risk_unattributed": q("SELECT (SELECT count(*) FROM out_) AS image_count, count(DISTINCT img) AS affected_images, count(DISTINCT category || ids) AS finding_count, count(DISTINCT ids) FILTER (category = 'near_duplicate') AS near_duplicate_count FROM ends JOIN out_ ON img = vec_id", "ends", "out_"),
     "risk_summary": q("SELECT count(*) AS group_count, count(*) FILTER (recommendation = 'REVIEW') AS review_count, (SELECT count(*) FROM out_) AS unattributed_images, false AS attribution_complete, 'attribution partial' AS status FROM gr", "gr", "out_"),
     "findings_unified": q("SELECT finding_id, layer, vec_id, severity, round(score, 6) AS score, recommendation FROM fu", "fu"),
     "finding_metrics": q("SELECT count(*) AS findings, count(*) FILTER (recommendation = 'REVIEW') AS review, count(*) FILTER (recommendation = 'QUARANTINE') AS quarantine, (SELECT count(*) FROM embeddings) AS assets FROM fu", "fu"),
     "asset_findings": q("SELECT finding_id, CASE WHEN vec_id IS NOT NULL THEN 'images/' || vec_id || '.png' END AS file_path FROM fu", "fu"),
+    "finding_report": q("""SELECT row_number() OVER (ORDER BY layer, id) AS position, '[' || layer || '] ' || title || ' · ' || id AS label FROM (SELECT '1D' AS layer, 'Label-neighborhood consistency finding' AS title, '1D:["int",' || q || ']' AS id FROM ls UNION ALL SELECT '1E', 'Distribution-shift candidate', '1E:["int",' || q || ']' FROM sh)""", "ls", "sh"),
+    "first_findings": """SELECT '1D:["int",' || vec_id || ']' AS finding_id, '[1D] Label-neighborhood consistency finding · 1D:["int",' || vec_id || ']' AS label FROM embeddings ORDER BY finding_id LIMIT 4""",
+    "finding_contract": """SELECT '1D:["int",' || vec_id || ']' AS finding_id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 5 = 0""",
+    "decisions_made": q("""SELECT 'd1:' || id AS decision_id, id AS finding_id, q AS vec_id, 'REVIEW' AS source_recommendation, 'QUARANTINE' AS analyst_decision, 'analyst' AS actor, 'layer1d,' || id AS refs, '1D' AS module FROM (SELECT q, '1D:["int",' || q || ']' AS id FROM ls WHERE state = 'review')""", "ls"),
+    "decision_log": q("""SELECT 2 * n + k AS position, '{"actor":"analyst","analyst_decision":' || CASE k WHEN 1 THEN '"REVIEW"' ELSE 'null' END || ',"decision_id":' || e || ',"event_id":' || substr(e, 1, length(e) - 1) || CASE k WHEN 0 THEN ':reviewed"' ELSE ':decision"' END || ',"event_type":"' || CASE k WHEN 0 THEN 'finding_reviewed' ELSE 'governance_decision' END || '","evidence_references":["layer1d",' || i || '],"finding_id":' || i || ',"mode":"pipeline","module":"1D","rationale":"seen","run_id":"run-1","schema_version":1,"source_detector":"label_consistency","source_recommendation":"REVIEW","timestamp":"2024-01-01T00:00:00Z"}' AS value
+        FROM (SELECT row_number() OVER (ORDER BY '1D:["int",' || q || ']') - 1 AS n, '"1D:[\\"int\\",' || q || ']"' AS i, '"d1:1D:[\\"int\\",' || q || ']"' AS e FROM ls WHERE state = 'review') CROSS JOIN (VALUES (0), (1)) t(k)""", "ls"),
+    "latest_events": q("SELECT 2 * position + k AS position, finding_id, CASE k WHEN 0 THEN 'finding_reviewed' ELSE 'governance_decision' END AS event_type, CASE k WHEN 1 THEN decision END AS analyst_decision FROM au CROSS JOIN (VALUES (0), (1)) t(k) WHERE decision IS NOT NULL ORDER BY position DESC LIMIT 50", "au"),
+    "cache_keys": """SELECT k::INTEGER AS k, s AS space_id, 'sha256:' || sha256('{"actual_extractor":"b","embedding_space_id":"' || s || '","fallback_used":' || CASE WHEN k % 2 = 1 THEN 'true' ELSE 'false' END || ',"input_fingerprint":"sha256:x","requested_extractor":"' || CASE WHEN k % 2 = 1 THEN 'a' ELSE 'b' END || '","schema_version":3}') AS cache_key
+        FROM (SELECT k, 'sha256:' || sha256('{"embedding_dim":64,"model_id":"m' || k || '","normalization":{"n":2},"preprocessing":{"p":1},"weights_identity":"w"}') AS s FROM range(6) t(k))""",
+    "dataset_fingerprint": """SELECT 'sha256:' || sha256('["{\\"format\\":\\"coco\\",\\"images\\":' || n || ',\\"name\\":\\"pages\\"}","' || h || '"]') AS fingerprint FROM (SELECT sum(n) AS n, sha256(string_agg(bin || '=' || h, chr(10) ORDER BY bin)) AS h FROM (SELECT k // 4096 AS bin, count(*) AS n, sha256(string_agg(k || '=' || h, chr(10) ORDER BY k)) AS h FROM (SELECT page_id AS k,
+        sha256('{"file_name":"f","file_path":' || CASE WHEN page_id % 3 = 0 THEN 'null' ELSE '"/img/' || page_id || '"' END || ',"height":480,"image_id":["int",' || page_id || '],"width":640}' || CASE page_id % 3 WHEN 0 THEN '|no-path|' WHEN 1 THEN sha256(coalesce(html, '')) ELSE '|unreadable-or-missing|' END) AS h FROM pages) GROUP BY bin))""",
+    "failures_in_order": "SELECT page_id, 'image_path_missing' AS failure_code FROM pages WHERE page_id % 3 = 0 ORDER BY page_id LIMIT 20",
+    "image_hash_failures": "SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'missing_path' WHEN 1 THEN 'missing_image' WHEN 2 THEN 'image_decode_error' ELSE 'hashed' END AS failure_code FROM embeddings WHERE vec_id::VARCHAR < '2'",
+    "dummy_embeddings": "SELECT DISTINCT label::BIGINT AS label, 6::INTEGER AS dim, 1.0::DOUBLE AS norm FROM embeddings",
     "coco_annotations": q("SELECT img, category_id::BIGINT AS category_id, x AS xmin, y AS ymin, w AS width, h AS height, w * h AS area FROM box", "box"),
     "coco_bounds_warnings": q("SELECT img, count(*) FILTER (x < 0 OR y < 0 OR x + w > 640 OR y + h > 480) AS spilling, count(*) AS boxes FROM box GROUP BY img", "box"),
-    "coco_fk_violations": q("SELECT img, category_id::BIGINT AS category_id, x FROM box WHERE img NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)", "box"),
+    "coco_fk_violations": q("SELECT 'image' AS lost, img, category_id::BIGINT AS category_id, x FROM box WHERE img NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) UNION ALL SELECT 'category', img, category_id::BIGINT, x FROM box WHERE category_id > 6", "box"),
     "yolo_parse": q("SELECT img, category_id::BIGINT AS class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(nw, 6) AS nw, round(nh, 6) AS nh, (cx - nw / 2 < 0 OR cy - nh / 2 < 0 OR cx + nw / 2 > 1 OR cy + nh / 2 > 1) AS spills FROM (SELECT img, category_id, round(cx, 8) AS cx, round(cy, 8) AS cy, round(nw, 8) AS nw, round(nh, 8) AS nh FROM yl)", "yl"),
     "yolo_to_pixels": q("SELECT img, category_id::BIGINT AS category_id, round((cx - nw / 2) * 640, 6) AS xmin, round((cy - nh / 2) * 480, 6) AS ymin, round(nw * 640, 6) AS width, round(nh * 480, 6) AS height FROM yl", "yl"),
     "pixels_to_yolo": q("SELECT img, category_id::BIGINT AS category_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(nw, 6) AS nw, round(nh, 6) AS nh FROM yl", "yl"),
@@ -116,7 +142,8 @@ ORACLE_SQL: dict[str, str] = {
     "yolo_orphans": "SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)",
     "images_without_annotations": "SELECT o_orderkey AS img FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "dataset_counts": q("SELECT (SELECT count(*) FROM orders) AS image_count, (SELECT count(*) FROM box) AS annotation_count", "box"),
-    "category_lookup": q("SELECT category_id::BIGINT AS category_id, CASE WHEN category_id <= 4 THEN 'class-' || category_id END AS category_name, count(*) AS boxes FROM box GROUP BY ALL", "box"),
+    "category_lookup": q("SELECT category_id::BIGINT AS category_id, CASE WHEN category_id > 2 THEN 'own-' || (img % 3) WHEN category_id = 1 THEN ' class-1 ' WHEN category_id = 2 THEN ' ' END AS category_name, count(*) AS boxes FROM box GROUP BY ALL", "box"),
+    "category_names": q("SELECT category_id::BIGINT AS category_id, CASE WHEN category_id IN (1, 3) THEN 'class-' || category_id ELSE min(CASE WHEN category_id > 2 THEN 'own-' || (img % 3) END) END AS name FROM box GROUP BY category_id", "box"),
     "id_lookup_fallback": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 1 END AS match FROM embeddings",
     "embedding_space_ids": "SELECT label::BIGINT AS label, 'sha256:' || sha256('{\"embedding_dim\":64,\"model_id\":\"m' || label || '\",\"weights_identity\":\"w\"}') AS space_id FROM (SELECT DISTINCT label FROM embeddings)",
     "content_fingerprint": "SELECT 'sha' AS kind, sha256(string_agg(bin || '=' || h, chr(10) ORDER BY bin)) AS fingerprint FROM (SELECT bin, sha256(string_agg(k || '=' || h, chr(10) ORDER BY k)) AS h FROM (SELECT page_id::VARCHAR AS k, substr(md5(page_id::VARCHAR), 1, 2) AS bin, sha256(coalesce(html, '|unreadable-or-missing|')) AS h FROM pages) GROUP BY bin)",

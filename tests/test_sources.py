@@ -177,4 +177,4 @@ def test_extraction_and_fallback(spark):
         raise RuntimeError("no")
 
     batch = ft.extract_with_fallback(pixels(spark), (info(backend="primary"), broken), (info(backend="dummy", embedding_dim=4), ft.dummy_extractor(4)))
-    assert batch.info.fallback_used and batch.info.fallback_reason == "model_inference_error" and batch.embeddings.count() == 2
+    assert batch.info.fallback_used and batch.info.fallback_reason == "model_inference_error: no" and batch.embeddings.count() == 2
