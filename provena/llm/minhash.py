@@ -7,7 +7,7 @@ Each dart hashes to one of ``COORDS`` coordinates and the signature keeps every
 so two texts agree on a coordinate with probability equal to their similarity. Only about ``COORDS * ln(COORDS)`` darts
 a text are thrown, however many coordinates there are.
 
-Joining. Texts equal word for word are one node. Nodes meet in ``BANDS`` bands of ``ROWS`` coordinates. In a bucket all nodes
+Joining. Texts equal word for word are one node with a number. Nodes meet in ``BANDS`` bands of ``ROWS`` coordinates. In a bucket all nodes
 are first compared, exactly, with the bucket's least node (the hub), which joins groups of any size by a star. What is
 still apart afterwards is compared across components: pair by pair in buckets of up to ``SMALL`` nodes, in tiles of
 numpy products above that (``_compare_groups``), where only links leave a task. So no link between candidates is lost, and
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks
+from provena.llm.bitmap import Bitmap
+from provena.llm.text import chunks, column_ddl, free_names, only_caches_of, quoted
 from provena.operators.components import connected_components
-from provena.runtime import discard, materialize, ship_package
+from provena.runtime import discard, materialize, ship_package, small
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
@@ -42,6 +44,8 @@ COORDS = ROWS * BANDS
 THRESHOLD = 0.8
 SMALL = 48
 TILE = 256
+#: words a worker remembers; characters and texts worked on at once (a text throws about 815 darts)
+KNOWN_WORDS, CHUNK_CHARS, CHUNK_TEXTS = 100_000, 1 << 19, 512
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: distribution function of the Poisson law of mean 1, scaled to 32 bits
@@ -51,7 +55,7 @@ _NONE = np.uint64(2**64 - 1)
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -168,29 +172,30 @@ def text_key(words: list[str]) -> bytes | None:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only_caches_of("minhash", _hashes.clear)
     for batch in batches:
-        for start, texts in chunks(batch, "text", 1 << 19):
+        for start, texts in chunks(batch, "text", CHUNK_CHARS, CHUNK_TEXTS):
             words = [words_of(t) for t in texts]
             keys = band_keys(text_signatures(words)).view(np.int64)
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, len(texts)), pa.array([text_key(w) for w in words], pa.binary()), pa.array([max(len(w) - SHINGLE + 1, 1) if w else 0 for w in words], pa.int32()), rows],
-                names=["doc_id", "h", "n", "bands"],
-            )
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            h = pa.array([text_key(w) for w in words], pa.binary())
+            n = pa.array([max(len(w) - SHINGLE + 1, 1) if w else 0 for w in words], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), h, n, bands], names=["doc_id", "h", "n", "bands"])
 
 
 def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, n, e (elements as bytes) of fetched texts, where the text is the one that h stands for."""
+    """id, n, e (elements as bytes) of fetched texts (id, h, text), where the text is the one that h stands for."""
+    only_caches_of("minhash", _hashes.clear)
     for batch in batches:
-        want = batch.column(0).to_pylist()
-        for start, texts in chunks(batch, "text", 1 << 19):
-            h, e = [], []
+        node, want = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for start, texts in chunks(batch, "text", CHUNK_CHARS, CHUNK_TEXTS):
+            ids, e = [], []
             for k, text in enumerate(texts):
                 words = words_of(text)
                 if text_key(words) == want[start + k]:
-                    h.append(want[start + k])
+                    ids.append(node[start + k])
                     e.append(elements(words).tobytes())
-            yield pa.record_batch([pa.array(h, pa.binary()), pa.array([len(x) // 8 for x in e], pa.int32()), pa.array(e, pa.binary())], ["h", "n", "e"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) // 8 for x in e], pa.int32()), pa.array(e, pa.binary())], ["id", "n", "e"])
 
 
 def _compare(threshold: float):
@@ -207,11 +212,11 @@ def _compare(threshold: float):
 
 
 def _verify(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of keys whose exact similarity reaches the threshold."""
-    left = found.select(F.col("h").alias("a"), F.col("e").alias("ea"))
-    right = found.select(F.col("h").alias("b"), F.col("e").alias("eb"))
+    """Pairs (a, b) of nodes whose exact similarity reaches the threshold."""
+    left = found.select(F.col("id").alias("a"), F.col("e").alias("ea"))
+    right = found.select(F.col("id").alias("b"), F.col("e").alias("eb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ea", "eb")
-    return materialize(both.mapInArrow(_compare(threshold), "a binary, b binary, similarity double"), "dup-edges")
+    return materialize(both.mapInArrow(_compare(threshold), "a bigint, b bigint, similarity double"), "dup-edges")
 
 
 def _close_in_size(a: Column, b: Column, threshold: float) -> Column:
@@ -250,7 +255,7 @@ def _compare_tiles(threshold: float):
                 for k in (0, 1):
                     rows = batch.column(k)[i].values
                     e = rows.field("e")
-                    sides.append((rows.field("h").to_pylist(), rows.field("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in e]))
+                    sides.append((rows.field("id").to_pylist(), rows.field("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in e]))
                 (ha, la, ea), (hb, lb, eb) = sides
                 common = _overlaps(ea, eb)
                 na, nb = np.array([len(x) for x in ea])[:, None], np.array([len(x) for x in eb])[None, :]
@@ -259,7 +264,8 @@ def _compare_tiles(threshold: float):
                 # one link from a node to each component: what is in it is joined already
                 first = {(p, lb[q]): q for p, q in zip(x[::-1].tolist(), y[::-1].tolist(), strict=True) if la[p] != lb[q]}
                 pairs = [(ha[p], hb[q], float(s[p, q])) for (p, _), q in first.items()]
-                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[2] for p in pairs], pa.float64())], ["a", "b", "similarity"])
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.record_batch([pa.array([p[k] for p in pairs], kind) for k, kind in enumerate(kinds)], ["a", "b", "similarity"])
 
     return run
 
@@ -267,77 +273,115 @@ def _compare_tiles(threshold: float):
 def _compare_groups(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """Links between components within groups of large buckets, exactly, in tiles.
 
-    ``large`` has ``h, hub, n, label`` of the members of large buckets. Buckets with common members form one group, so no pair is
+    ``large`` has ``id, hub, n, label`` of the members of large buckets. Buckets with common members form one group, so no pair is
     met once a band. A group's nodes are cut into size classes (similar texts are in one or in neighbours) and those into
     chunks of at most about ``TILE`` texts. A tile compares a chunk of nodes outside the group's main component with a
-    chunk of any; only links leave it.
+    chunk of any; only links leave it. So the work is the product of a group's nodes and those of them that no hub is
+    similar to, within neighbouring size classes.
     """
-    groups = connected_components(large.select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct())
+    groups = connected_components(large.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-math.log(threshold))).cast("int")
-    nodes = large.groupBy("h").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(groups.select(F.col("node").alias("h"), F.col("label").alias("group")), "h").join(found, "h")
-    nodes = materialize(nodes.select("h", "label", "group", "e", "n", size_class.alias("cls")), "dup-groups")
-    main = nodes.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    extent = nodes.groupBy("group", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / (TILE * 512))).alias("chunks"))
-    extent = materialize(extent.join(main, "group"), "dup-extent")
-    placed = nodes.join(extent, ["group", "cls"]).withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int"))
+    own = large.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    nodes = own.join(groups.select(F.col("node").alias("id"), F.col("label").alias("group")), "id").join(found, "id")
+    nodes = materialize(nodes.select("id", "label", "group", "e", "n", size_class.alias("cls")), "dup-groups")
+    parts = nodes.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("group").agg(F.max(F.struct("k", "label")).alias("m")).select("group", F.col("m.label").alias("main"))
+    chunks_of = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / (TILE * 512)))
+    extent = materialize(nodes.groupBy("group", "cls").agg(chunks_of.alias("chunks")).join(main, "group"), "dup-extent")
+    placed = nodes.join(extent, ["group", "cls"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     packed = placed.groupBy("group", "cls", "chunk")
-    row = F.struct("h", "label", "e")
+    row = F.struct("id", "label", "e")
     right = materialize(packed.agg(F.collect_list(row).alias("right")), "dup-right")
     left = materialize(packed.agg(F.collect_list(F.when(F.col("label") != F.col("main"), row)).alias("left")).filter("size(left) > 0"), "dup-left")
     near = left.select("group", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), "left")
     tiles = near.join(right.select("group", "cls", "right"), ["group", "cls"]).select("left", "right")
-    links = materialize(tiles.mapInArrow(_compare_tiles(threshold), "a binary, b binary, similarity double"), "dup-edges")
+    links = materialize(tiles.mapInArrow(_compare_tiles(threshold), "a bigint, b bigint, similarity double"), "dup-edges")
     for used in (nodes, right, left):
         discard(used)
     return links
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.select(F.col("node").alias("h"), "label")
-    return rows.join(named, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    named = labels.select(F.col("node").alias("id"), "label")
+    return rows.join(small(named), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _across(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) that share a key, lie in different components and are close in size."""
-    a = rows.select(key, F.col("h").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = rows.select(key, F.col("h").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    a = rows.select(key, F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = rows.select(key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = a.join(b, key).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close_in_size(F.col("na"), F.col("nb"), threshold))
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Features of all rows (``doc_id, h, n, bands``), ``h, class`` of nodes in classes of several texts, and the verified links."""
+@dataclass
+class NearDuplicates:
+    features: DataFrame  # doc_id, h, n, bands of every row
+    nodes: DataFrame  # id, h, doc_id (the least), rows, n, bands of every distinct text with words
+    labels: DataFrame  # node, label: the classes of several texts
+    links: DataFrame  # a, b, similarity: verified links between nodes
+
+
+def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> NearDuplicates:
+    """Distinct texts as nodes with a number of their own, their verified links, and the classes these form."""
     spark = docs.sparkSession
     ship_package(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = materialize(docs.select("doc_id", "text").mapInArrow(_featurize, f"doc_id {kind}, h binary, n int, bands array<bigint>"), "dup-features")
-    nodes = features.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "dup-nodes")
-    spread = nodes.select("h", "n", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("h", "n")).alias("hub")).filter("size > 1")
-    buckets = materialize(buckets.select("key", "size", F.col("hub.h").alias("hub"), F.col("hub.n").alias("hub_n")), "dup-buckets")
-    members = materialize(spread.join(buckets, "key"), "dup-members")
-    candidates = members.select("h").distinct().join(nodes.select("h", "doc_id"), "h")
-    # the texts of candidates, by the row that stands for the node
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(candidates, F.col("_id").eqNullSafe(F.col("doc_id")))
-    found = materialize(texts.select("h", "text").mapInArrow(_element_rows, "h binary, n int, e binary").dropDuplicates(["h"]), "dup-elements")
-
-    stars = members.filter((F.col("h") != F.col("hub")) & _close_in_size(F.col("n"), F.col("hub_n"), threshold))
-    links = _verify(stars.select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct(), found, threshold)
+    texts = features.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # numbers are fixed once they are written; whatever they are, classes come out the same
+    nodes = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "h", "doc_id", "rows", "n", "bands"), "dup-nodes")
+    # most keys are alone in their bucket, so they are counted on their own first
+    spread = nodes.select("id", "n", F.explode("bands").alias("key"))
+    shared = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "dup-keys")
+    placed = materialize(spread.join(shared, "key"), "dup-placed")
+    hubs = materialize(placed.groupBy("key").agg(F.min("id").alias("hub")), "dup-hubs")
+    members = materialize(placed.join(hubs, "key"), "dup-members")
+    found = _elements_of(docs, features, nodes, members)
+    for used in (shared, placed, hubs):
+        discard(used)
+
+    stars = members.filter(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b")).distinct()
+    stars = materialize(stars, "dup-stars")
+    sizes = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+    close = stars.join(sizes, "b").filter(_close_in_size(F.col("na"), F.col("nb"), threshold))
+    links = _verify(materialize(close.select("a", "b"), "dup-close"), found, threshold)
     labels = connected_components(links)
-    named = materialize(_labelled(members.select("key", "size", "hub", "h", "n"), labels), "dup-named")
+    named = materialize(_labelled(members, labels), "dup-named")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     apart = materialize(named.join(mixed, "key", "left_semi"), "dup-apart")
-    more = _verify(_across(apart.filter(F.col("size") <= SMALL), "key", threshold), found, threshold)
+    across = materialize(_across(apart.filter(F.col("size") <= SMALL), "key", threshold), "dup-across")
+    more = _verify(across, found, threshold)
     large = apart.filter(F.col("size") > SMALL)
     if large.limit(1).count():
-        more = more.union(_compare_groups(large, found.select("h", "e"), threshold))
+        more = more.union(_compare_groups(large, found.select("id", "e"), threshold))
     if more.limit(1).count():
-        links = links.select("a", "b", "similarity").union(more.select("a", "b", "similarity"))
+        links = links.union(more)
         labels = connected_components(links)
-    for used in (members, named, apart, buckets, found):
+    for used in (members, stars, named, apart, across, found):
         discard(used)
-    return features, labels.select(F.col("node").alias("h"), F.col("label").alias("class")), links
+    return NearDuplicates(features, nodes, labels, links)
+
+
+def _elements_of(docs: DataFrame, features: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, n, e`` of the nodes in shared buckets, from the row that stands for each; other rows' texts are not shuffled."""
+    candidates = materialize(nodes.select("id", "h", "doc_id").join(members.select("id").distinct(), "id"), "dup-candidates")
+    wanted = Bitmap(candidates, "doc_id").mark(docs.select(F.col("doc_id").alias("row_id"), "text"), F.col("row_id"), "wanted").filter("wanted")
+    texts = wanted.select("row_id", "text").join(candidates, F.col("row_id").eqNullSafe(F.col("doc_id"))).select("id", "h", "text")
+    rows = texts.mapInArrow(_element_rows, "id bigint, n int, e binary")
+    # a doc_id that repeats with its text brings the same elements again
+    if features.filter("h is not null").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id"])
+    found = materialize(rows, "dup-elements")
+    discard(candidates)
+    return found
+
+
+def _by_node(found: NearDuplicates) -> DataFrame:
+    """``id, h, doc_id, rows, class`` of every node; alone it is a class of its own number."""
+    classes = found.labels.select(F.col("node").alias("id"), F.col("label").alias("class"))
+    nodes = found.nodes.select("id", "h", "doc_id", "rows").join(small(classes), "id", "left")
+    return nodes.withColumn("class", F.coalesce("class", "id"))
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -346,15 +390,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     ``class_id`` is the least doc_id of the row's class, ``class_size`` its number of rows, ``n_links`` the number of
     verified links of the row's text to other texts (links between texts already joined are not all listed).
     """
-    features, labels, links = near_duplicate_nodes(docs, threshold)
-    rows = features.select("doc_id", "h")
-    counts = rows.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
-    ends = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
-    texts = counts.join(labels, "h", "left").join(ends, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    texts = materialize(texts, "dup-texts")
-    classes = texts.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    by_text = materialize(texts.select("h", "class", "links").join(classes, "class").select("h", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("n_links")), "dup-classes")
-    return rows.join(by_text, "h", "left").select(
+    found = near_duplicate_nodes(docs, threshold)
+    links = found.links
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = materialize(_by_node(found).join(small(materialize(ends, "dup-ends")), "id", "left"), "dup-classed")
+    classes = nodes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
+    by_text = materialize(nodes.select("h", "class", F.coalesce("n_links", F.lit(0)).alias("n_links")).join(materialize(classes, "dup-classes"), "class").drop("class"), "dup-texts")
+    return found.features.select("doc_id", "h").join(by_text, "h", "left").select(
         "doc_id",
         F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
@@ -362,27 +404,51 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     )
 
 
+def _fates(found: NearDuplicates) -> DataFrame:
+    """``h, doc_id, n, stays`` for every pair of a text and a doc_id with n rows: whether one of them is its class's."""
+    nodes = materialize(_by_node(found).drop("id", "rows"), "dup-classed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    firsts = nodes.groupBy("class").agg(F.min(order).alias("first"))
+    firsts = materialize(firsts.select(F.col("first.h").alias("h"), F.col("first.doc_id").alias("kept"), F.lit(True).alias("there")), "dup-firsts")
+    pairs = materialize(found.features.filter("h is not null").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n")), "dup-pairs")
+    stays = F.col("there").isNotNull() & F.col("doc_id").eqNullSafe(F.col("kept"))
+    fates = materialize(pairs.join(firsts, "h", "left").select("h", "doc_id", "n", stays.alias("stays")), "dup-fates")
+    for used in (nodes, pairs, firsts):
+        discard(used)
+    return fates
+
+
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of every class: that with the least doc_id (least text key on ties); rows without words all stay."""
-    features, labels, _ = near_duplicate_nodes(docs, threshold)
-    texts = features.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("least")).join(labels, "h", "left")
-    order = F.struct(F.col("least").isNull().alias("none"), "least", "h")
-    kept = texts.groupBy(F.coalesce("class", "h").alias("class")).agg(F.min(order).alias("first")).select(F.col("first.h").alias("_h"), F.col("first.least").alias("_least"))
-    same = features.filter("h is not null").groupBy(F.col("h").alias("_h"), F.col("doc_id").alias("_least")).agg(F.count(F.lit(1)).alias("_rows"))
-    # rows of a kept text that repeat its doc_id as well
-    kept = materialize(kept.join(same, kept["_h"].eqNullSafe(same["_h"]) & kept["_least"].eqNullSafe(same["_least"])).select(kept["_h"], kept["_least"], "_rows"), "dup-kept")
-    names = docs.columns
-    schema = "_h binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """One row of every class: that with the least doc_id (least text key on ties); rows without words all stay.
+
+    Rows are decided by text and doc_id. A bitmap of the doc_ids that lose a row lets all other rows pass as they lie. Of the rows it
+    holds back only those whose doc_id also has a row that stays are compared exactly, by their text's key.
+    """
+    found = near_duplicate_nodes(docs, threshold)
+    features, fates = found.features, _fates(found)
+    losing = Bitmap(fates.filter("not stays or n > 1").select("doc_id"), "doc_id")
+    back = losing.mark(fates.filter("stays").select("h", "doc_id", "n"), F.col("doc_id"), "held").filter("held").drop("held")
+    wordless = losing.mark(features.filter("h is null").select("doc_id"), F.col("doc_id"), "held").filter("held").drop("held")
+    back = materialize(back, "dup-back")
+    returning = Bitmap(back.select("doc_id").unionAll(wordless), "doc_id")
+
+    held, again, key, kept_h, kept_id, n = free_names(docs.columns, "held", "again", "key", "kept_h", "kept_id", "n")
+    marked = losing.mark(docs, F.col("doc_id"), held)
+    passing = marked.filter(~F.col(held)).select(*quoted(docs.columns))
+    doubtful = returning.mark(marked.filter(F.col(held)), F.col("doc_id"), again).filter(F.col(again)).select(*quoted(docs.columns))
+    schema = f"`{key}` binary, " + ", ".join(column_ddl(f) for f in docs.schema.fields)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [text_key(words_of(t)) for _, texts in chunks(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *batch.columns], names=["_h", *batch.schema.names])
-
-    rows = docs.mapInArrow(keyed, schema)
-    chosen = rows.join(kept.withColumnRenamed("_h", "_k"), F.col("_h") == F.col("_k"), "left")
-    single = chosen.filter(F.col("_h").isNull() | (F.col("_least").eqNullSafe(F.col("doc_id")) & (F.col("_rows") == 1)))
-    if not kept.filter("_rows > 1").limit(1).count():
-        return single.select(*names)
-    repeated = chosen.filter(F.col("_least").eqNullSafe(F.col("doc_id")) & (F.col("_rows") > 1)).dropDuplicates(["_h"])
-    return single.select(*names).unionByName(repeated.select(*names))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *batch.columns], names=[key, *batch.schema.names])
+
+    own = back.select(F.col("h").alias(kept_h), F.col("doc_id").alias(kept_id), F.col("n").alias(n))
+    same = (F.col(key) == F.col(kept_h)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    checked = doubtful.mapInArrow(keyed, schema).join(own, same, "left")
+    single = checked.filter(F.col(key).isNull() | (F.col(n) == 1))
+    out = passing.unionByName(single.select(*quoted(docs.columns)))
+    if back.filter("n > 1").limit(1).count():  # rows of a kept text that repeat its doc_id as well
+        repeated = checked.filter(F.col(n) > 1).dropDuplicates([key])
+        out = out.unionByName(repeated.select(*quoted(docs.columns)))
+    return out
