@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, column_ddl, fold, free_names, quoted, unit_hash, with_text
+from provena.llm.text import chunks, column_ddl, fold, free_names, only_caches_of, quoted, unit_hash, with_text
 from provena.runtime import ship_package
 
 ORDERS = (1, 2, 3)
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, is_train: Column, fit_docs: int = 3000, max_langs: int
     place = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("langid", lambda: None)
         found = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
             own = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
@@ -138,6 +139,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     rows, name = with_text(docs, keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("langid", lambda: None)
         for batch in batches:
             found, values = [], []
             for _, texts in chunks(batch, name):

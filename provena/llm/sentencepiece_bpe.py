@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks
+from provena.llm.text import chunks, only_caches_of
 from provena.runtime import ship_package
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_KNOWN_UNITS = 250_000
+#: words and pairs of tokens a worker remembers
+KNOWN_UNITS, KNOWN_PAIRS = 100_000, 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -216,6 +217,8 @@ class PieceModel:
                 pair = before << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
+                    if len(pairs) >= KNOWN_PAIRS:
+                        pairs.clear()
                     fits = pairs[pair] = self.compatible(before, token)
                 if not fits:
                     continue
@@ -258,7 +261,7 @@ class PieceModel:
                 ids += self._known(run)
             found = tuple(ids)
             if len(text) <= 64:
-                if len(self.units) >= _KNOWN_UNITS:
+                if len(self.units) >= KNOWN_UNITS:
                     self.units.clear()
                 self.units[text] = found
         return found
@@ -292,7 +295,7 @@ class PieceModel:
         return data.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _load(blob: bytes) -> PieceModel:
     return PieceModel(blob)
 
@@ -313,6 +316,7 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(shared.value)
+        only_caches_of("sentencepiece", _load.cache_clear)
         for batch in batches:
             for start, texts in chunks(batch, "text"):
                 n, a, b, all_ids, all_texts = [], [], [], [], []
