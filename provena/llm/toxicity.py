@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import chunks, column_ddl, fold, free_names, quoted, unit_hash, with_text
+from provena.llm.text import chunks, column_ddl, fold, free_names, only_caches_of, quoted, unit_hash, with_text
 from provena.runtime import discard, materialize, ship_package
 
 WORDS = re.compile(r"\w+")
 PREFIXES = (6, 5, 4)
 DRIFT = -0.3
+KNOWN_WORDS = 100_000  # words a worker remembers
 PRIOR_SHARE = 0.1  # weight of the prior, as a share of all counted tokens
 
 
@@ -60,28 +61,28 @@ def sketch(text: str | None) -> list[int]:
         mixed = runs[a : a + 4096, None] * _FACTORS
         mixed ^= mixed >> np.uint64(32)
         least = np.minimum(least, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(0))
-    return (least >> np.uint64(1)).astype(np.int64).tolist()
+    return (least >> np.uint64(33)).astype(np.int32).tolist()
 
 
-def one_of_near_copies(rows: DataFrame) -> DataFrame:
-    """Of ``text, toxic, doc_id, marks`` (a bounded, written table): ``text, toxic``, near copies once.
+def one_of_near_copies(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which rows of a bounded sample stay: near copies once. Rows are in a fixed order.
 
-    Texts of a class are grouped by one of their marks. A group's least row stays and stands for those that are like it in
+    Rows of a class are grouped by one of their marks. A group's first row stays and stands for those that are like it in
     all marks; the rest of the group are grouped by the next mark. What is left after ``ROUNDS`` stays whole, so no
-    text goes but for one that is kept and like it.
+    row goes but for one that is kept and like it.
     """
-    rest, kept = rows, None
+    stays = np.zeros(len(marks), bool)
+    rest = np.arange(len(marks))
     for k in range(ROUNDS):
-        mark = F.element_at("marks", k + 1).alias("mark")
-        first = rest.groupBy("toxic", mark).agg(F.min(F.struct("doc_id", "marks", "text")).alias("row"))
-        stays = first.select("row.text", "toxic")
-        kept = stays if kept is None else kept.unionAll(stays)
-        # the sample is bounded, and so are its groups
-        others = F.broadcast(first.select(F.col("toxic").alias("_toxic"), F.col("mark").alias("_mark"), F.col("row.marks").alias("_marks")))
-        same = F.aggregate(F.zip_with("marks", "_marks", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        paired = rest.join(others, (F.col("toxic") == F.col("_toxic")) & (F.element_at("marks", k + 1) == F.col("_mark")))
-        rest = paired.filter(same < ALIKE * MARKS).select(*rows.columns)
-    return kept.unionAll(rest.select("text", "toxic"))
+        if not len(rest):
+            break
+        key = np.stack([toxic[rest].astype(np.int64), marks[rest, k]], 1)
+        _, first, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        stays[rest[first]] = True
+        like = (marks[rest] == marks[rest[first[group.reshape(-1)]]]).sum(1)
+        rest = rest[like < ALIKE * MARKS]
+    stays[rest] = True
+    return stays
 
 
 @dataclass
@@ -147,11 +148,14 @@ class ToxicityModel:
         for k in PREFIXES:
             if s is None and len(word) > k:
                 s = self.scores.get(f"{k}{word[:k]}")
-        if len(memo) > 150_000:
+        if len(memo) >= KNOWN_WORDS:
             memo.clear()
         memo[word] = s
         return s
 
+    def forget(self) -> None:
+        self.__dict__.pop("_memo", None)
+
     def passages(self, n: int, hits: list[tuple[int, float]]) -> list[tuple[Segment, float]]:
         """Significant segments with their normalised scores, best first."""
         if not hits:
@@ -176,6 +180,7 @@ class ToxicityModel:
 
 def _label_rows(docs: DataFrame, labels: DataFrame, is_train: Column, fit_docs: int) -> tuple[DataFrame, float, float]:
     """Sampled ``text, toxic``, written, with the full class sizes."""
+    spark = docs.sparkSession
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = marked.filter(is_train)
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -184,16 +189,23 @@ def _label_rows(docs: DataFrame, labels: DataFrame, is_train: Column, fit_docs:
     chosen = marked.filter(unit_hash(F.col("doc_id"), seed=4) < share).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     # the sample is bounded, so it goes to the documents, which are not shuffled
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id")
-    schema = f"text string, toxic int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, marks array<bigint>"
+    schema = f"text string, toxic int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, marks array<int>"
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [sketch(t) for _, texts in chunks(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.list_(pa.int64()))], names=[*batch.schema.names, "marks"])
-
-    # copies of one text would count as many witnesses of its words
-    sketches = materialize(sample.mapInArrow(sketched, schema), "toxic-sketches")
-    apart = materialize(one_of_near_copies(sketches), "toxic-sample")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.list_(pa.int32()))], names=[*batch.schema.names, "marks"])
+
+    # copies of one text would count as many witnesses of its words. The sample is bounded, and so are its marks (half a kilobyte a
+    # text), which come to the driver; texts don't
+    sketches = sample.mapInArrow(sketched, schema).select(F.monotonically_increasing_id().alias("row"), "*")
+    sketches = materialize(sketches, "toxic-sketches")
+    seen = sketches.select("row", "toxic", "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "marks").toArrow()
+    seen = seen.sort_by([("doc_id", "ascending"), ("crc", "ascending")])
+    marks = seen.column("marks").combine_chunks().flatten().to_numpy().reshape(len(seen), MARKS) if len(seen) else np.zeros((0, MARKS), np.int32)
+    rows = seen.column("row").to_numpy()[one_of_near_copies(seen.column("toxic").to_numpy(), marks)]
+    kept = spark.createDataFrame([(int(x),) for x in rows], "row bigint")
+    apart = materialize(sketches.select("row", "text", "toxic").join(F.broadcast(kept), "row").select("text", "toxic"), "toxic-sample")
     discard(sketches)
     return apart, float(n1), float(n0)
 
@@ -340,6 +352,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        only_caches_of("toxicity", m.forget)
         for batch in batches:
             scores, spans = [], []
             for _, texts in chunks(batch, name):
