@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provena.llm.sharding import Leaf, balanced_tree, grow
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -74,11 +76,66 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from provena.llm.sharding import assign_shards, balanced_tree
+    from provena.llm.sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), balanced_tree(8))
 
 
+def _crc32_sql(data: str) -> str:
+    """CRC-32 of a blob, byte by byte; the table's entry of a byte is the exclusive or of those of its bits."""
+    of_bit = []
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        of_bit.append(c)
+    step = "c >> 8"
+    for k, entry in enumerate(of_bit):
+        step = f"xor({step}, ((xor(c, b) >> {k}) & 1) * {entry})"
+    ones = "4294967295::UBIGINT"
+    listed = f"list_transform(regexp_extract_all(hex({data}), '..'), lambda h: ('0x' || h)::UBIGINT)"
+    return f"xor(list_reduce({listed}, lambda c, b: {step}, {ones}), {ones})::BIGINT"
+
+
+def _descent_sql(tree: list[Leaf], key: str) -> str:
+    """Shard of a key: at each level the child whose exponential arrival is first."""
+
+    def enter(path: tuple[str, ...]) -> str:
+        children: dict[str, float] = {}
+        for leaf in tree:
+            own = (leaf.region, leaf.rack, str(leaf.shard))
+            if own[: len(path)] == path:
+                children[own[len(path)]] = children.get(own[len(path)], 0.0) + leaf.weight
+        last = len(path) == 2
+        if len(children) == 1:
+            only = next(iter(children))
+            return only if last else enter((*path, only))
+        draws = []
+        for k, (name, weight) in enumerate(children.items()):
+            digits = f"('0x' || substr(md5({key} || '|{'/'.join((*path, name))}'), 1, 13))::BIGINT"
+            draws.append(f"{{'t': -ln(({digits} + 0.5) / {16**13}.0::DOUBLE) / {weight}, 'n': {name if last else k}}}")
+        first = f"list_sort([{', '.join(draws)}])[1].n"
+        if last:
+            return first
+        return f"CASE {first} " + " ".join(f"WHEN {k} THEN {enter((*path, name))}" for k, name in enumerate(children)) + " END"
+
+    return enter(())
+
+
+def _sharding_sql() -> str:
+    tree = balanced_tree(8)
+    return f"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS k FROM documents),
+        s AS (SELECT doc_id, k, octet_length(body)::BIGINT + 1 AS size, {_crc32_sql("body")} AS text_crc32,
+                     ({_descent_sql(tree, "k")})::INTEGER AS shard, ({_descent_sql(grow(tree), "k")})::INTEGER AS grown_shard FROM d),
+        b AS (SELECT *, ('0x' || substr(md5(concat_ws('|', k, size, text_crc32)), 1, 13))::BIGINT
+                        % greatest(1, ceil((SELECT count(*) FROM documents) / (4096 * 8.0)))::BIGINT AS bin FROM s)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+        FROM b
+    """
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -123,4 +180,5 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op10_sharding": _sharding_sql(),
 }
