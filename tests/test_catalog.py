@@ -1,5 +1,6 @@
 """Every query of the catalogue against its SQL form, on the smallest tables."""
 
+import functools
 import numbers
 import os
 
@@ -29,6 +30,17 @@ def rows(frame):
     return cols, sorted(out, key=str)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_runs():
+    """Runs of detectors that several queries read are made once; each query still runs through its own code."""
+    made = {name: getattr(catalog, name) for name in ("_run", "risk", "_labels", "all_evidence")}
+    for name, f in made.items():
+        setattr(catalog, name, functools.cache(f))
+    yield
+    for name, f in made.items():
+        setattr(catalog, name, f)
+
+
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in oracles.ORACLE_SQL])
 def test_query(spark, duck, name):
     if not os.path.isdir(DATA):
@@ -77,13 +89,27 @@ def test_tiles_of_many_blocks(spark, monkeypatch):
     from provena.operators import neighbours as nb
     from provena.operators import tiles
 
+    def listed(frame):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in frame.collect())
+
     f = catalog.features(spark, DATA).limit(200)
-    whole = sorted(map(str, nd.cosine_pairs(f, 0.3).collect()))
-    near = sorted(map(str, nb.nearest_others(f, None, 3).collect()))
+    whole, near = listed(nd.cosine_pairs(f, 0.3)), listed(nb.nearest_others(f, None, 3))
     monkeypatch.setattr(tiles, "BLOCK_BYTES", 64 * 8 * 41)
     monkeypatch.setattr(tiles, "STRIP", 13)
-    assert len(whole) and sorted(map(str, nd.cosine_pairs(f, 0.3).collect())) == whole
-    assert sorted(map(str, nb.nearest_others(f, None, 3).collect())) == near
+    assert len(whole) and listed(nd.cosine_pairs(f, 0.3)) == whole
+    assert listed(nb.nearest_others(f, None, 3)) == near
+
+
+def test_event_stream(spark, tmp_path):
+    from provena.streaming.scoring import event_counts, read_event_stream
+
+    (tmp_path / "in").mkdir()
+    lines = [f'{{"ts": "2024-01-01T00:{m:02d}:00Z", "event_type": "{t}"}}' for m, t in ((1, "a"), (2, "a"), (3, "b"), (12, "a"), (59, "a"))]
+    (tmp_path / "in" / "log.json").write_text("\n".join(lines))
+    counts = event_counts(read_event_stream(spark, str(tmp_path / "in"), "ts timestamp, event_type string"))
+    counts.writeStream.format("memory").queryName("event_counts").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.window.start.minute, r.event_type, r.events) for r in spark.table("event_counts").collect())
+    assert got == [(0, "a", 2), (0, "b", 1), (10, "a", 1), (50, "a", 1)]
 
 
 def test_stream_scores(spark, tmp_path):
