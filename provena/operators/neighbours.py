@@ -104,7 +104,10 @@ def label_exclusions(images: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.select("image_id", reason.alias("reason")).filter("reason is not null")
 
 
-def detect_label_disagreement(labels: DataFrame, features: DataFrame | FeatureBatch, k: int = NEIGHBOURS, threshold: float = DISAGREEMENT, min_same: int = MIN_SAME, images: DataFrame | None = None) -> LabelResult:
+def detect_label_disagreement(
+    labels: DataFrame, features: DataFrame | FeatureBatch, k: int = NEIGHBOURS, threshold: float = DISAGREEMENT, min_same: int = MIN_SAME,
+    images: DataFrame | None = None,
+) -> LabelResult:
     """Neighbours of labelled images among labelled images, with counts, competitor, score and state."""
     if isinstance(k, bool) or k < 1 or not 0 <= threshold <= 1 or min_same < 0:
         raise DetectorError("k >= 1, threshold in [0, 1] and min_same >= 0 are needed")
@@ -122,9 +125,13 @@ def detect_label_disagreement(labels: DataFrame, features: DataFrame | FeatureBa
     per_label = near.select("image_id", "same", "similarity", "labels", F.explode("neighbour_labels").alias("category_id"))
     by_count = Window.partitionBy("image_id").orderBy(F.desc("count"), F.col("category_id").cast("string"))
     distribution = per_label.groupBy("image_id", "category_id").agg(F.count(F.lit(1)).alias("count")).withColumn("position", F.row_number().over(by_count))
-    rivals = per_label.filter(~F.col("same") & ~F.array_contains("labels", F.col("category_id"))).groupBy("image_id", "category_id").agg(F.count(F.lit(1)).alias("rival_count"), F.avg("similarity").alias("rival_similarity"))
+    rivals = per_label.filter(~F.col("same") & ~F.array_contains("labels", F.col("category_id"))).groupBy("image_id", "category_id").agg(
+        F.count(F.lit(1)).alias("rival_count"), F.avg("similarity").alias("rival_similarity"),
+    )
     strongest = Window.partitionBy("image_id").orderBy(F.desc("rival_count"), F.desc("rival_similarity"), F.col("category_id").cast("string"))
-    rival = rivals.withColumn("nth", F.row_number().over(strongest)).filter("nth = 1").select("image_id", F.col("category_id").alias("competing_label"), "rival_count", "rival_similarity")
+    rival = rivals.withColumn("nth", F.row_number().over(strongest)).filter("nth = 1").select(
+        "image_id", F.col("category_id").alias("competing_label"), "rival_count", "rival_similarity",
+    )
     counts = near.groupBy("image_id").agg(
         F.count_if("same").alias("same_count"),
         F.count_if(~F.col("same")).alias("different_count"),
@@ -135,10 +142,16 @@ def detect_label_disagreement(labels: DataFrame, features: DataFrame | FeatureBa
     advice = F.when(F.col("same_count") < min_same, "REVIEW_CONTEXT").when(score >= threshold, "REVIEW").otherwise("NO_AUTOMATIC_ACTION")
     full = usable.join(counts, "image_id", "left").join(rival, "image_id", "left")
     full = full.withColumn("same_count", F.coalesce("same_count", F.lit(0))).withColumn("different_count", F.coalesce("different_count", F.lit(0)))
-    findings = full.select("image_id", "labels", "same_count", "different_count", "same_similarity", "competing_label", "rival_count", "rival_similarity", score.alias("score"), state.alias("state"), advice.alias("recommendation"))
+    findings = full.select(
+        "image_id", "labels", "same_count", "different_count", "same_similarity", "competing_label", "rival_count", "rival_similarity", score.alias("score"),
+        state.alias("state"), advice.alias("recommendation"),
+    )
     findings = materialize(findings, "label-findings")
     excluded = label_exclusions(images if images is not None else labels, labels)
-    summary = findings.agg(F.count(F.lit(1)).alias("scored_images"), F.count_if(F.col("state") == "review").alias("suspicious_count"), F.count_if(F.col("state") == "insufficient_class_support").alias("unsupported_count"))
+    summary = findings.agg(
+        F.count(F.lit(1)).alias("scored_images"), F.count_if(F.col("state") == "review").alias("suspicious_count"),
+        F.count_if(F.col("state") == "insufficient_class_support").alias("unsupported_count"),
+    )
     return LabelResult(near, findings, distribution, excluded, summary)
 
 
@@ -265,12 +278,18 @@ def analyze_silhouette(labels: DataFrame, features: DataFrame | FeatureBatch, mi
     b = F.col("rival.mean")
     top = F.greatest("a", b)
     s = F.when(top == 0, 0.0).otherwise((b - F.col("a")) / top)
-    findings = scored.select("image_id", "labels", "class_size", F.col("a").alias("intra_distance"), b.alias("nearest_distance"), F.col("rival.labels").alias("nearest_labels"), s.alias("silhouette"), (s > 0).alias("well_separated"))
+    findings = scored.select(
+        "image_id", "labels", "class_size", F.col("a").alias("intra_distance"), b.alias("nearest_distance"), F.col("rival.labels").alias("nearest_labels"),
+        s.alias("silhouette"), (s > 0).alias("well_separated"),
+    )
     findings = materialize(findings, "sil-findings")
     unscorable = coded.filter("reason is not null").select("image_id", "reason").unionByName(marked.filter("reason is not null").select("image_id", "reason"))
     classes = findings.groupBy("labels").agg(F.count(F.lit(1)).alias("image_count"), F.avg("silhouette").alias("mean_silhouette"))
     x = F.col("silhouette")
-    summary = findings.agg(F.count(F.lit(1)).alias("scored_images"), F.avg(x).alias("mean_silhouette"), F.median(x).alias("median_silhouette"), F.min(x).alias("min_silhouette"), F.max(x).alias("max_silhouette"))
+    summary = findings.agg(
+        F.count(F.lit(1)).alias("scored_images"), F.avg(x).alias("mean_silhouette"), F.median(x).alias("median_silhouette"), F.min(x).alias("min_silhouette"),
+        F.max(x).alias("max_silhouette"),
+    )
     return SilhouetteResult(findings, unscorable, classes, summary)
 
 

@@ -70,7 +70,10 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
     rows = table(spark, d, "embeddings").select("vec_id").join(docs, "vec_id").join(covered, "vec_id", "left_semi")
     team = F.concat(F.lit("team-"), (F.col("vec_id") % 7).cast("string"))
-    return rows.select(int_id(F.col("vec_id")).alias("image_id"), ev.text_value(team).alias("contributor_id"), ev.text_value(F.col("source")).alias("source_id"), ev.text_value(F.col("lang")).alias("batch_id"))
+    return rows.select(
+        int_id(F.col("vec_id")).alias("image_id"), ev.text_value(team).alias("contributor_id"), ev.text_value(F.col("source")).alias("source_id"),
+        ev.text_value(F.col("lang")).alias("batch_id"),
+    )
 
 
 def all_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +250,10 @@ def ood_summary(spark, d):
 @query
 def silhouette_findings(spark, d):
     f = nb.analyze_silhouette(labels(spark, d), features(spark, d)).findings
-    return f.select(num("image_id"), F.element_at("labels", 1).alias("label"), r6("intra_distance"), r6("nearest_distance"), F.element_at("nearest_labels", 1).alias("nearest_label"), r6("silhouette"), "well_separated")
+    return f.select(
+        num("image_id"), F.element_at("labels", 1).alias("label"), r6("intra_distance"), r6("nearest_distance"),
+        F.element_at("nearest_labels", 1).alias("nearest_label"), r6("silhouette"), "well_separated",
+    )
 
 
 @query
@@ -313,7 +319,10 @@ def evidence_conflicts(spark, d):
 @query
 def risk_groups(spark, d):
     g = risk(spark, d).groups.filter("group_type <> 'combined'")
-    return g.select("group_type", "group_id", "image_count", "near_duplicate_count", "label_disagreement_count", "distribution_shift_count", "finding_count", "affected_images", r6("score"), "recommendation")
+    return g.select(
+        "group_type", "group_id", "image_count", "near_duplicate_count", "label_disagreement_count", "distribution_shift_count", "finding_count",
+        "affected_images", r6("score"), "recommendation",
+    )
 
 
 @query
@@ -336,7 +345,9 @@ def evidence_texts(spark, d):
 def _described(spark, d) -> DataFrame:
     """Images with metadata: some of their own, by both aliases."""
     v = F.col("vec_id")
-    meta = F.when(v % 3 == 0, F.create_map(F.lit("contributor"), F.concat(F.lit("c"), v % 4), F.lit("batch_id"), F.lit(" "))).when(v % 3 == 1, F.create_map(F.lit("contributor_id"), F.concat(F.lit("d"), v % 4)))
+    meta = F.when(v % 3 == 0, F.create_map(F.lit("contributor"), F.concat(F.lit("c"), v % 4), F.lit("batch_id"), F.lit(" "))).when(
+        v % 3 == 1, F.create_map(F.lit("contributor_id"), F.concat(F.lit("d"), v % 4)),
+    )
     return table(spark, d, "embeddings").select(int_id(v).alias("image_id"), meta.alias("metadata"))
 
 
@@ -459,7 +470,10 @@ def latest_decision(spark, d):
 def audit_validation(spark, d):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = table(spark, d, "events").join(_decisions(spark, d).select(F.col("position").alias("event_id"), "analyst_decision"), "event_id")
-    events = rows.select(F.lit("governance_decision").alias("event_type"), "analyst_decision", F.lit("analyst").alias("actor"), stamp.alias("timestamp"), F.col("event_type").alias("kind"))
+    events = rows.select(
+        F.lit("governance_decision").alias("event_type"), "analyst_decision", F.lit("analyst").alias("actor"), stamp.alias("timestamp"),
+        F.col("event_type").alias("kind"),
+    )
     return fi.invalid_events(events).groupBy("kind").agg(F.count(F.lit(1)).alias("invalid"))
 
 
@@ -605,7 +619,10 @@ def id_lookup_fallback(spark, d):
 def embedding_space_ids(spark, d):
     model = F.concat(F.lit("m"), F.col("label").cast("string"))
     rows = table(spark, d, "embeddings").select("label").distinct()
-    return rows.select(F.col("label").cast("bigint").alias("label"), ft.space_id_column({"model_id": model, "weights_identity": F.lit("w"), "embedding_dim": F.lit(64)}).alias("space_id"))
+    return rows.select(
+        F.col("label").cast("bigint").alias("label"),
+        ft.space_id_column({"model_id": model, "weights_identity": F.lit("w"), "embedding_dim": F.lit(64)}).alias("space_id"),
+    )
 
 
 @query
@@ -633,12 +650,17 @@ def _page_images(spark, d) -> DataFrame:
     """Pages as images: a third has no path, a third no readable file."""
     path = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("/img/"), F.col("page_id").cast("string")))
     sides = [F.lit(640).alias("width"), F.lit(480).alias("height")]
-    return table(spark, d, "pages").select(int_id(F.col("page_id")).alias("image_id"), F.col("page_id").alias("ordinal"), F.lit("f").alias("file_name"), path.alias("file_path"), *sides)
+    return table(spark, d, "pages").select(
+        int_id(F.col("page_id")).alias("image_id"), F.col("page_id").alias("ordinal"), F.lit("f").alias("file_name"), path.alias("file_path"), *sides,
+    )
 
 
 @query
 def dataset_fingerprint(spark, d):
-    files = table(spark, d, "pages").filter("page_id % 3 = 1").select(F.concat(F.lit("/img/"), F.col("page_id").cast("string")).alias("file_path"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("content_hash"))
+    files = table(spark, d, "pages").filter("page_id % 3 = 1").select(
+        F.concat(F.lit("/img/"), F.col("page_id").cast("string")).alias("file_path"),
+        F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("content_hash"),
+    )
     images = _page_images(spark, d)
     found = ft.dataset_fingerprint(Dataset("pages", "coco", "", images, images, images), files)
     return spark.createDataFrame([(found,)], "fingerprint string")
@@ -655,7 +677,10 @@ def failures_in_order(spark, d):
 @query
 def image_hash_failures(spark, d):
     """Perceptual hashes of small images by image: no path, no file, no decodable content, or a hash."""
-    images = table(spark, d, "embeddings").select(int_id(F.col("vec_id")).alias("image_id"), F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("/i/"), F.col("vec_id").cast("string"))).alias("file_path"), "vec_id")
+    images = table(spark, d, "embeddings").select(
+        int_id(F.col("vec_id")).alias("image_id"), F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("/i/"), F.col("vec_id").cast("string"))).alias("file_path"),
+        "vec_id",
+    )
     tones = F.hex(F.lpad(F.lit("a"), 48, "bcd"))
     size = F.when(F.col("vec_id") % 4 == 2, -1).otherwise(4)
     pixels = images.filter("vec_id % 4 > 1").select("file_path", size.alias("height"), size.alias("width"), F.lit(3).alias("channels"), F.unhex(tones).alias("data"))
@@ -669,6 +694,9 @@ def dummy_embeddings(spark, d):
     rows = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     tone = F.unhex(F.lpad(F.hex((F.col("label") * 20 + 15).cast("long")), 2, "0"))
     data = F.array_join(F.array_repeat(F.hex(tone), 12), "")
-    images = rows.select(int_id(F.col("label")).alias("image_id"), F.lit("x").alias("file_path"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("channels"), F.unhex(data).alias("data"))
+    images = rows.select(
+        int_id(F.col("label")).alias("image_id"), F.lit("x").alias("file_path"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("channels"),
+        F.unhex(data).alias("data"),
+    )
     found, _ = ft.extract(images, ft.dummy_extractor(6), 6)
     return found.select(num("image_id", "label"), F.size("vector").alias("dim"), r6(vf.norm(F.col("vector")), "norm"))

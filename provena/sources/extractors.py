@@ -197,7 +197,10 @@ def residual_extractor(dataset_name: str, path: str, device: str = "auto", forwa
     return info, LocalModel((lambda: forward) if forward else (lambda: load_residual(path, device)), info.embedding_dim)
 
 
-def extract_features(images, dataset_name: str, transformer_path: str, residual_path: str, device: str = "auto", allow_fallback: bool = False, forwards: tuple[Forward | None, Forward | None] = (None, None)) -> FeatureBatch:
+def extract_features(
+    images, dataset_name: str, transformer_path: str, residual_path: str, device: str = "auto", allow_fallback: bool = False,
+    forwards: tuple[Forward | None, Forward | None] = (None, None),
+) -> FeatureBatch:
     """Both extractors by their weight paths: the second takes the whole run over if the first fails and this is allowed."""
     primary = transformer_extractor(dataset_name, transformer_path, device, forwards[0])
     fallback = residual_extractor(dataset_name, residual_path, device, forwards[1]) if allow_fallback else None
