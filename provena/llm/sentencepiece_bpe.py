@@ -35,7 +35,7 @@ from provena.runtime import ship_package
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: words and pairs of tokens a worker remembers
-KNOWN_UNITS, KNOWN_PAIRS = 100_000, 1 << 18
+KNOWN_UNITS, KNOWN_PAIRS = 130_000, 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -126,8 +126,11 @@ class PieceModel:
             if (piece.strip(MARK) or len(piece) == 1) and self._derive(piece, i):
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        #: by token, which tokens can follow it
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.units: dict[str, tuple[int, ...]] = {}
+        self.met, self.n_met = bytearray(1 << 22), 0
         # words of one script of characters, with the marks before them
         self.split = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
         self.texts = [self._surface(i) for i in range(len(self.pieces))]
@@ -201,30 +204,34 @@ class PieceModel:
 
     def _table(self, text: str) -> list[int]:
         """Ids of a run of known characters with at most one mark, by the table of prefixes."""
-        last = [-1] * (len(text) + 1)
-        width = [0] * (len(text) + 1)
-        done = 0
-        pairs = self.pairs
+        size = len(text) + 1
+        last, width = [0] * size, [0] * size
+        #: by end position what is known of pairs with the prefix's last token
+        row: list[dict[int, bool] | None] = [None] * size
+        rows, done = self.pairs, 0
         for end, (token, n) in self.automaton.iter(text):
             stop = end + 1
             if stop == done:
                 continue
-            start = stop - n
-            if start:
-                before = last[start]
-                if before < 0:
+            if n != stop:
+                known = row[stop - n]
+                if known is None:
                     continue
-                pair = before << 32 | token
-                fits = pairs.get(pair)
+                fits = known.get(token)
                 if fits is None:
-                    if len(pairs) >= KNOWN_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = self.compatible(before, token)
+                    fits = known[token] = self.compatible(last[stop - n], token)
+                    self.n_pairs += 1
                 if not fits:
                     continue
             last[stop], width[stop] = token, n
+            found = rows.get(token)
+            if found is None:
+                found = rows[token] = {}
+            row[stop] = found
             done = stop
-        ids, at = [], len(text)
+        if self.n_pairs >= KNOWN_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        ids, at = [], size - 1
         while at:
             ids.append(last[at])
             at -= width[at]
@@ -236,36 +243,47 @@ class PieceModel:
         return self._table(text)
 
     def unit(self, text: str) -> tuple[int, ...]:
+        """Ids of a piece of text that no token reaches across the ends of."""
         found = self.units.get(text)
         if found is None:
-            ids: list[int] = []
-            run = ""
-            if self.chars.issuperset(text):
-                if len(text) > 1 and text[-2:] not in self.inner:
-                    ids += self.unit(text[:-1]) if len(text) <= 64 else self._known(text[:-1])
-                    run = text[-1]
-                else:
-                    run = text
-                text_left = ""
+            inner, cuts = self.inner, []
+            for k in range(1, len(text)):
+                if text[k - 1 : k + 1] not in inner:
+                    cuts.append(k)
+            if cuts:
+                ids: list[int] = []
+                for start, end in zip([0, *cuts], [*cuts, len(text)], strict=True):
+                    ids += self.units.get(text[start:end]) or self._whole(text[start:end])
+                found = tuple(ids)
+                if len(text) <= 64:
+                    self._remember(text, found)
             else:
-                text_left = text
-            for c in text_left:
-                if c in self.chars:
-                    run += c
-                    continue
-                if run:
-                    ids += self._known(run)
-                    run = ""
-                ids += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-            if run:
-                ids += self._known(run)
-            found = tuple(ids)
-            if len(text) <= 64:
-                if len(self.units) >= KNOWN_UNITS:
-                    self.units.clear()
-                self.units[text] = found
+                found = self._whole(text)
+        return found
+
+    def _whole(self, text: str) -> tuple[int, ...]:
+        """Ids of a run in which every neighbouring pair of characters is in some token, or of a single character."""
+        if self.chars.issuperset(text):
+            found = tuple(self._known(text))
+        else:  # a character that is no token is in no pair of one, so it is alone here
+            found = tuple(self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass"))
+        if len(text) <= 64:
+            self._remember(text, found)
         return found
 
+    def _remember(self, text: str, ids: tuple[int, ...]) -> None:
+        """Keep a word from its second sight on, so that words that come once leave room for others."""
+        at = hash(text) & (len(self.met) - 1)
+        if not self.met[at]:
+            self.met[at] = 1
+            self.n_met += 1
+            if self.n_met > len(self.met) // 4:
+                self.met, self.n_met = bytearray(len(self.met)), 0
+            return
+        if len(self.units) >= KNOWN_UNITS:
+            self.units.clear()
+        self.units[text] = ids
+
     def encode(self, text: str | None) -> list[int]:
         """Ids with begin and end."""
         out = [self.bos]
@@ -306,13 +324,13 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, ``decoded``) of every row of ``docs``."""
+def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, and ``decoded``) of every row of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # the vocabulary's file: about half a megabyte
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(shared.value)
@@ -327,13 +345,17 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = False) -> D
                     a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                     b.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(np.array(ids, np.int32))
+                    if with_text:
                         all_texts.append(back)
                 cols = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
-                    names += ["ids", "decoded"]
+                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                if with_text:
+                    cols.append(pa.array(all_texts, pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
