@@ -45,7 +45,7 @@ THRESHOLD = 0.8
 SMALL = 48
 TILE = 256
 #: words a worker remembers; characters and texts worked on at once (a text throws about 815 darts)
-KNOWN_WORDS, CHUNK_CHARS, CHUNK_TEXTS = 100_000, 1 << 19, 512
+KNOWN_WORDS, CHUNK_CHARS, CHUNK_TEXTS = 100_000, 1 << 18, 256
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: distribution function of the Poisson law of mean 1, scaled to 32 bits
@@ -328,7 +328,9 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> NearD
     ship_package(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = materialize(docs.select("doc_id", "text").mapInArrow(_featurize, f"doc_id {kind}, h binary, n int, bands array<bigint>"), "dup-features")
-    texts = features.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = features.filter("h is not null").groupBy("h").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+    )
     # numbers are fixed once they are written; whatever they are, classes come out the same
     nodes = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "h", "doc_id", "rows", "n", "bands"), "dup-nodes")
     # most keys are alone in their bucket, so they are counted on their own first
@@ -395,7 +397,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = materialize(_by_node(found).join(small(materialize(ends, "dup-ends")), "id", "left"), "dup-classed")
     classes = nodes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    by_text = materialize(nodes.select("h", "class", F.coalesce("n_links", F.lit(0)).alias("n_links")).join(materialize(classes, "dup-classes"), "class").drop("class"), "dup-texts")
+    by_text = materialize(
+        nodes.select("h", "class", F.coalesce("n_links", F.lit(0)).alias("n_links")).join(materialize(classes, "dup-classes"), "class").drop("class"),
+        "dup-texts",
+    )
     return found.features.select("doc_id", "h").join(by_text, "h", "left").select(
         "doc_id",
         F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

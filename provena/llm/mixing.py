@@ -58,7 +58,9 @@ def source_targets(sources: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1
     within = Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())
     place = F.col("_offset") + F.row_number().over(within) - F.lit(1)
     weights = F.array(*[F.lit(float(w)) for w in pattern])
-    ranked = ranged.join(F.broadcast(offset), "_range").select("source", "source_size", "n_docs", F.element_at(weights, (F.pmod(place, F.lit(len(pattern))) + 1).cast("int")).alias("weight"))
+    ranked = ranged.join(F.broadcast(offset), "_range").select(
+        "source", "source_size", "n_docs", F.element_at(weights, (F.pmod(place, F.lit(len(pattern))) + 1).cast("int")).alias("weight"),
+    )
     table = materialize(ranked, "mix-weights")
     discard(ranged)
     room = F.lit(float(cap)) * F.col("source_size")
@@ -122,7 +124,10 @@ def solve_dual(sizes: DataFrame, sources: DataFrame, cap: float = 2.0, rounds: i
     open_ = sources.filter((F.col("target") > 0) & (F.col("target") < F.lit(cap * (1 - 1e-12)) * F.col("source_size")))
     mean = F.col("source_size") / F.col("n_docs")
     end = F.lit(float("inf"))
-    state = open_.select("source", "target", mean.alias("mean"), F.log(F.col("target") / F.col("source_size")).alias("tilt"), (-end).alias("low"), end.alias("high"), end.alias("miss"))
+    state = open_.select(
+        "source", "target", mean.alias("mean"), F.log(F.col("target") / F.col("source_size")).alias("tilt"), (-end).alias("low"), end.alias("high"),
+        end.alias("miss"),
+    )
     for _ in range(0, rounds, FUSED):
         for _ in range(FUSED):
             state = _newton_step(sizes, state, cap, few)
@@ -183,7 +188,10 @@ def plan_mix(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     placed = attach(narrow, rates, few=few).select("source", "size", "target", of.whole.alias("whole"), of.place.alias("place"), of.bin.alias("bin"))
     by_bin = placed.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
     by_bin = materialize(by_bin, "mix-bins")
-    wanted = materialize(by_bin.groupBy("source").agg((F.first("target") - F.sum("sure")).alias("wanted"), F.sum(F.when(F.col("bin").isNotNull(), F.col("words"))).alias("there")), "mix-wanted")
+    wanted = materialize(
+        by_bin.groupBy("source").agg((F.first("target") - F.sum("sure")).alias("wanted"), F.sum(F.when(F.col("bin").isNotNull(), F.col("words"))).alias("there")),
+        "mix-wanted",
+    )
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.col("wanted") - F.coalesce(F.sum("words").over(before), F.lit(0))
     cuts = attach(by_bin.filter("bin is not null").drop("target"), wanted, few=few).withColumn("rest", rest)

@@ -21,7 +21,7 @@ def unit_hash(*keys: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def chunks(batch: pa.RecordBatch, column: str, chars: int = 1 << 19, most: int = 1 << 13) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(batch: pa.RecordBatch, column: str, chars: int = 1 << 18, most: int = 1 << 12) -> Iterator[tuple[int, list[str | None]]]:
     """Rows of a batch in runs of about ``chars`` characters and at most ``most`` rows; a longer text is a run of its own."""
     values = batch.column(batch.schema.get_field_index(column))
     start, run, size = 0, [], 0

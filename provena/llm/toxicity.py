@@ -231,7 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, is_train: Column, fit_docs: int = 40
         words = list(found[0].keys() | found[1].keys())
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
-            yield pa.record_batch([pa.array(part, pa.string()), pa.array([found[1].get(w, 0) for w in part], pa.int64()), pa.array([found[0].get(w, 0) for w in part], pa.int64())], ["word", "y1", "y0"])
+            yield pa.record_batch(
+                [pa.array(part, pa.string()), pa.array([found[1].get(w, 0) for w in part], pa.int64()), pa.array([found[0].get(w, 0) for w in part], pa.int64())],
+                ["word", "y1", "y0"],
+            )
 
     words = materialize(rows.mapInArrow(vocabulary, "word string, y1 bigint, y0 bigint").groupBy("word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "toxic-words")
     all1, all0, n_words = (float(x or 0) for x in words.agg(F.sum("y1"), F.sum("y0"), F.count(F.lit(1))).first())

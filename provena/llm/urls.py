@@ -189,15 +189,18 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rat
     model.prior = n1 / (n1 + n0)
     model.base = math.log(max(model.prior, 1e-6) / max(1 - model.prior, 1e-6))
     out = sample.select("*", *[c.cast("double").alias(n) for n, c in lexical_features(F.col("url"), F.col("host"), F.col("path")).items()])
-    for name, key in STATISTICS.items():
-        hashed = F.xxhash64(key(F.col("host"), F.col("path")))
-        by_fold = sample.groupBy(hashed.alias("key"), "fold").agg(F.sum(weight).alias("n"), F.sum(F.col("block") * weight).alias("s"))
-        by_fold = materialize(by_fold, "url-folds")
-        whole = by_fold.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-        whole = materialize(whole, "url-rates")
-        model.rates[name] = whole.select("key", _rate(F.col("all_s"), F.col("all_n"), model.prior).alias("rate"))
+    keys = {name: F.xxhash64(key(F.col("host"), F.col("path"))) for name, key in STATISTICS.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), key.alias("key")) for name, key in keys.items()]))
+    by_fold = sample.select("fold", "block", each.alias("k")).groupBy("k.name", "k.key", "fold").agg(F.sum(weight).alias("n"), F.sum(F.col("block") * weight).alias("s"))
+    by_fold = materialize(by_fold, "url-folds")
+    whole = by_fold.groupBy("name", "key").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    whole = materialize(whole.withColumn("rate", _rate(F.col("all_s"), F.col("all_n"), model.prior)), "url-rates")
+    for name, hashed in keys.items():
+        model.rates[name] = whole.filter(F.col("name") == name).select("key", "rate")
         # a fold's own rows leave the sums; at most a row a key and fold, so no larger than the sample
-        others = by_fold.join(F.broadcast(whole), "key").select(F.col("key").alias(f"{name}_key"), F.col("fold").alias(f"{name}_fold"), _rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n"), model.prior).alias(f"{name}_rate"))
+        others = by_fold.filter(F.col("name") == name).join(F.broadcast(whole), ["name", "key"])
+        rate_there = _rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n"), model.prior)
+        others = others.select(F.col("key").alias(f"{name}_key"), F.col("fold").alias(f"{name}_fold"), rate_there.alias(f"{name}_rate"))
         out = out.join(F.broadcast(others), (hashed == F.col(f"{name}_key")) & (F.col("fold") == F.col(f"{name}_fold")), "left")
     names = feature_names()
     rows = materialize(out.select("block", *[F.coalesce(n, F.lit(model.prior)).alias(n) for n in names]), "url-features")

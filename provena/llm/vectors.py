@@ -58,7 +58,9 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tup
             yield np.concatenate(a), np.concatenate(b)
 
 
-def search_all(vectors: DataFrame, is_query: Column, k: int, score_type: str, descending: bool, searcher: Callable[[np.ndarray, np.ndarray], Search], block: int = BLOCK) -> DataFrame:
+def search_all(
+    vectors: DataFrame, is_query: Column, k: int, score_type: str, descending: bool, searcher: Callable[[np.ndarray, np.ndarray], Search], block: int = BLOCK,
+) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every query among the rows (vec_id, vector) of ``vectors``.
 
     One query a vec_id (of repeated ids with several vectors the least vector asks); rows with the query's id are its own.

@@ -263,7 +263,10 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                     current = None
         if current is not None:
             close(current)
-        yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], ["archive", "records", "bytes"])
+        yield pa.record_batch(
+            [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())],
+            ["archive", "records", "bytes"],
+        )
 
     return materialize(planned.mapInArrow(write, "archive string, records bigint, bytes bigint"), "warc-written")
 
